@@ -6,11 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import near_dup
+from siltstone.llm import codefiles, near_dup, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": near_dup.p1_found,
     "p1_groups": near_dup.p1_groups,
+    "p2_found": split.p2_found,
+    "p2_pieces": split.p2_pieces,
+    "p5_found": codefiles.p5_found,
+    "p5_verdicts": codefiles.p5_verdicts,
 }
 
-ORACLES: dict[str, str] = {}
+#: Token counts and white-space stretches are plain regular expressions, so SQL can tell the
+#: oversized texts and whether a stretch forces a cut.
+ORACLES: dict[str, str] = {
+    "p2_found": r"""
+        WITH c AS (SELECT DISTINCT id, content FROM chunk WHERE content IS NOT NULL),
+        t AS (SELECT id, content, len(regexp_extract_all(content, '[A-Za-z0-9_]+|\S')) AS n FROM c)
+        SELECT id, CASE WHEN list_max(list_transform(string_split_regex(content, '\s+'),
+                 lambda w: len(regexp_extract_all(w, '[A-Za-z0-9_]+|\S')))) > 1024
+               THEN 'forced' ELSE 'boundary' END AS cut
+        FROM t WHERE n > 1024""",
+}
