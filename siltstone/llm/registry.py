@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import codefiles, near_dup, split
+from siltstone.llm import codefiles, encode, license, near_dup, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": near_dup.p1_found,
     "p1_groups": near_dup.p1_groups,
     "p2_found": split.p2_found,
     "p2_pieces": split.p2_pieces,
+    "p3_found": license.p3_found,
+    "p3_summary": license.p3_summary,
     "p5_found": codefiles.p5_found,
     "p5_verdicts": codefiles.p5_verdicts,
+    "p6_ids": encode.p6_ids,
+    "p6_counts": encode.p6_counts,
 }
 
 #: Token counts and white-space stretches are plain regular expressions, so SQL can tell the
