@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import codefiles, encode, license, near_dup, split
+from siltstone.llm import codefiles, confusable, encode, license, near_dup, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": near_dup.p1_found,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_verdicts": codefiles.p5_verdicts,
     "p6_ids": encode.p6_ids,
     "p6_counts": encode.p6_counts,
+    "p8_found": confusable.p8_found,
+    "p8_forms": confusable.p8_forms,
+    "p8_groups": confusable.p8_groups,
 }
 
 #: Token counts and white-space stretches are plain regular expressions, so SQL can tell the
