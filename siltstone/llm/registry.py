@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import codefiles, confusable, encode, license, near_dup, split
+from siltstone.llm import codefiles, confusable, encode, knn, license, near_dup, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": near_dup.p1_found,
@@ -15,6 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_pieces": split.p2_pieces,
     "p3_found": license.p3_found,
     "p3_summary": license.p3_summary,
+    "p4_found": knn.p4_found,
+    "p4_neighbours": knn.p4_neighbours,
     "p5_found": codefiles.p5_found,
     "p5_verdicts": codefiles.p5_verdicts,
     "p6_ids": encode.p6_ids,
