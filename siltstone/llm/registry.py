@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import codefiles, confusable, encode, knn, license, near_dup, split
+from siltstone.llm import codefiles, confusable, encode, knn, license, near_dup, pack, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": near_dup.p1_found,
@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_verdicts": codefiles.p5_verdicts,
     "p6_ids": encode.p6_ids,
     "p6_counts": encode.p6_counts,
+    "p7_containers": pack.p7_containers,
+    "p7_fill": pack.p7_fill,
     "p8_found": confusable.p8_found,
     "p8_forms": confusable.p8_forms,
     "p8_groups": confusable.p8_groups,
