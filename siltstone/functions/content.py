@@ -103,7 +103,7 @@ def head_blocks(lines: list[str], blocks: list[Block]) -> int:
 
 
 # What makes a comment look like a license, and a file generated.
-LICENSEISH = re.compile(r"(?i)(copyright|licen[sc]e|spdx-license-identifier|all rights reserved|permission is hereby granted)")
+LICENSEISH = re.compile(r"(?i)(copyright|licensed under|license|SPDX-License-Identifier|all rights reserved|permission is hereby granted|warranty)")
 GENERATED = re.compile(r"(?i)(@generated|DO NOT EDIT|Code generated by|Auto-?generated( by)?)")
 SPDX = re.compile(r"(?im)^\s*SPDX-License-Identifier:\s*(\S[^\r\n]*?)\s*$")
 _RUN = re.compile(r"([^\w\s]|_)\1{4,}")
@@ -172,7 +172,7 @@ def clean_code(body: str, language: str, name: str = "", detect=None) -> Cleaned
     return out
 
 
-_BADGE = re.compile(r"^\s*(\[?!\[[^\]]*\]\([^)]*(?:shields\.io|badge)[^)]*\)(\]\([^)]*\))?\s*)+$", re.I)
+_BADGE = re.compile(r"^\s*(\[!\[[^\]]*\]\([^)]*\)\]\([^)]*\)\s*)+$")
 _JSX = re.compile(r"^\s*(</?[A-Z][A-Za-z0-9_.]*(\s[^<>]*)?/?>\s*)+$")
 
 

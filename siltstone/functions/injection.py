@@ -106,7 +106,7 @@ def blend(pattern: Column, model: Column, pattern_weight: float = 0.5, model_wei
     return F.when(model.isNull(), p).otherwise(F.least(F.greatest(both, F.lit(0.0)), F.lit(1.0)))
 
 
-def model_gated(attribution: Column, gates: tuple[str, ...] = ("community", "unknown")) -> Column:
+def model_gated(attribution: Column, gates: tuple[str, ...] = ("third_party", "community", "unknown")) -> Column:
     """Whether the costlier model pass runs for this origin."""
     return F.coalesce(attribution, F.lit("unknown")).isin(*gates)
 

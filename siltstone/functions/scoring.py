@@ -116,19 +116,18 @@ def confidence_bucket(c: Column) -> Column:
 
 
 def authority_level(attribution: Column, verified: Column) -> Column:
-    """How far a reader may rely on the content."""
-    a, v = F.coalesce(attribution, F.lit("unknown")), F.coalesce(verified, F.lit(False))
-    return F.when(a.isin("foundation") & v, "official").when(a.isin("foundation", "partner"), "trusted").when(v, "verified").when(a == "unknown", "unknown").otherwise("unverified")
+    """high for a verified foundation or partner, medium for one of both, else low."""
+    strong = F.coalesce(attribution.isin("foundation", "partner"), F.lit(False)).cast("int")
+    return F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), strong + F.coalesce(verified, F.lit(False)).cast("int") + 1)
 
 
-def version_fit_label(match: Column, distance: Column) -> Column:
-    d = distance.cast("string")
+def version_fit_label(match: Column, distance: Column, name: Column) -> Column:
+    near = F.when(distance.isNull(), F.lit("near-miss")).otherwise(F.concat(F.lit("near-miss (off by "), distance.cast("string"), F.lit(")")))
     return (
-        F.when(match == "satisfies", "satisfies")
-        .when(match == "near_miss_patch", F.concat(F.lit("near miss: "), d, F.lit(" patch")))
-        .when(match == "near_miss_minor", F.concat(F.lit("near miss: "), d, F.lit(" minor")))
-        .when(match == "breaking", "breaking")
-        .otherwise("unknown")
+        F.when(match == "satisfies", F.when(name.isNull(), F.lit("satisfies")).otherwise(F.concat(F.lit("satisfies "), name)))
+        .when(match.startswith("near_miss"), near)
+        .when(match == "silent", F.lit("no version declared"))
+        .when(match.isNotNull(), F.lit("version unknown"))
     )
 
 

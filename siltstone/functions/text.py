@@ -196,7 +196,7 @@ def glob_matches(path: Column, globs: list[str]) -> Column:
 
 
 # Parts and files that an ingest leaves out by default.
-SKIP_DIRS = ("node_modules", "target", "dist", "build", ".next", ".turbo", "__pycache__", ".venv", "venv", "vendor", "coverage")
+SKIP_DIRS = ("node_modules", "target", "vendor", "dist", "build", "out", "coverage", "managed", "__snapshots__")
 SKIP_FILES = ("*.min.js", "*.min.css", "*.map", "*.lock", "package-lock.json", "pnpm-lock.yaml")
 
 
@@ -322,7 +322,7 @@ def model_revision(wire: Column) -> Column:
 
 def redacted(s: Column) -> Column:
     """Runs of 32 or more characters that could be a key."""
-    return F.regexp_replace(s, r"[A-Za-z0-9+/_=-]{32,}", "[redacted]")
+    return F.regexp_replace(s, r"[A-Za-z0-9.\-_=+/]{32,}", "[redacted]")
 
 
 def snippet(s: Column, n: int = 150) -> Column:
@@ -345,13 +345,19 @@ def wrapped_untrusted(text: Column, nonce: Column) -> Column:
     return F.concat(F.lit("<untrusted-"), nonce, F.lit(">\n"), safe, F.lit("\n</untrusted-"), nonce, F.lit(">"))
 
 
+LEVELS = ("disabled", "low", "moderate", "high", "strict")
+
+
 def should_wrap(attribution: Column, verified: Column, level: str) -> Column:
-    """off: never; standard: what isn't from the foundation or verified; strict: always."""
-    if level == "off":
-        return F.lit(False)
-    if level == "strict":
-        return F.lit(True)
-    return ~((F.coalesce(attribution, F.lit("unknown")) == "foundation") | F.coalesce(verified, F.lit(False)))
+    """Whether content of this origin is marked as untrusted at a level, from disabled to strict."""
+    a, v = F.coalesce(attribution, F.lit("unknown")), F.coalesce(verified, F.lit(False))
+    return {
+        "disabled": F.lit(False),
+        "low": ~v & a.isin("third_party", "community", "unknown"),
+        "moderate": ~v,
+        "high": ~(v & (a == "foundation")),
+        "strict": F.lit(True),
+    }[level]
 
 
 def guarded(text: Column, attribution: Column, verified: Column, flagged: Column, nonce: Column, level: str) -> Column:
