@@ -197,7 +197,7 @@ def glob_matches(path: Column, globs: list[str]) -> Column:
 
 # Parts and files that an ingest leaves out by default.
 SKIP_DIRS = ("node_modules", "target", "vendor", "dist", "build", "out", "coverage", "managed", "__snapshots__")
-SKIP_FILES = ("*.min.js", "*.bundle.js", "*_pb.ts", "*_pb.js", "*.pb.go", "package-lock.json", "npm-shrinkwrap.json", "pnpm-lock.yaml", "CODE_OF_CONDUCT.md")
+SKIP_FILES = ("*.min.js", "*.bundle.js", "*_pb.ts", "*_pb.js", "*.pb.go", "package-lock.json", "npm-shrinkwrap.json", "pnpm-lock.yaml", "CODE_OF_CONDUCT.md", "CONTRIBUTING.md", "SECURITY.md")
 
 
 def path_allowed(path: Column, includes: list[str] = (), excludes: list[str] = (), defaults: bool = True, known_kind: bool = True) -> Column:
