@@ -92,8 +92,8 @@ def validate(filters: dict) -> None:
                     raise FilterError(f"{key}: {x['version_satisfies']} is no version or range")
 
 
-def midnight(day: dt.date | str) -> Column:
-    """A date as the timestamp of its midnight in UTC (the session's zone)."""
+def day_start(day: dt.date | str) -> Column:
+    """A date as the timestamp of its first instant in UTC (the session's zone)."""
     return F.to_timestamp(F.lit(str(day)))
 
 
@@ -164,8 +164,8 @@ def predicate(filters: dict | None, strict: bool = False, c=F.col) -> Column:
                 out += _sets(v, lambda x, column=column: named_in(column, [t["name"] for t in x]))
     for key in ("ingested_at", "source_modified_at"):
         if v := filters.get(key):
-            out += [c(key) >= midnight(v["after"])] if v.get("after") else []
-            out += [c(key) <= midnight(v["before"])] if v.get("before") else []
+            out += [c(key) >= day_start(v["after"])] if v.get("after") else []
+            out += [c(key) <= day_start(v["before"])] if v.get("before") else []
     if v := filters.get("token_count"):
         out += [c("token_count") >= min(v["min"], INT_MAX)] if v.get("min") is not None else []
         out += [c("token_count") <= min(v["max"], INT_MAX)] if v.get("max") is not None else []
