@@ -28,9 +28,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_groups": confusable.p8_groups,
 }
 
-#: Token counts and white-space stretches are plain regular expressions, so SQL can tell the
-#: oversized texts and whether a stretch forces a cut.
+_P4 = """
+    {f}_v AS (SELECT pair_id, CAST({f} AS DOUBLE[]) AS v FROM (SELECT DISTINCT ON (pair_id) * FROM query_pair) WHERE len({f}) = 64
+        AND NOT list_bool_or(list_transform({f}, lambda x: isnan(x))) AND list_bool_or(list_transform({f}, lambda x: x <> 0))),
+    {f}_n AS (SELECT a.pair_id AS a, b.pair_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM {f}_v a JOIN {f}_v b ON a.pair_id <> b.pair_id
+        QUALIFY row_number() OVER (PARTITION BY a.pair_id ORDER BY round(s, 12) DESC, b.pair_id) <= 10)"""
+_P4_PAIRS = "SELECT '{f}' AS field, x.a AS pair_id_a, x.b AS pair_id_b FROM {f}_n x JOIN {f}_n y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b AND x.s >= 0.9 - 1e-9"
+
+#: By brute force: all shared shingles, all pairs of vectors; token counts and white-space stretches
+#: as regular expressions.
 ORACLES: dict[str, str] = {
+    "p1_found": r"""
+        WITH c AS (SELECT DISTINCT id, content FROM chunk WHERE content IS NOT NULL),
+        w AS (SELECT id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM c),
+        s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) > 2),
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+        k AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)
+        SELECT id_a, id_b FROM k JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE k >= 0.7 * (a.n + b.n - k) - 1e-9
+        UNION SELECT a.id, b.id FROM c a JOIN c b ON a.content = b.content AND a.id < b.id""",
     "p2_found": r"""
         WITH c AS (SELECT DISTINCT id, content FROM chunk WHERE content IS NOT NULL),
         t AS (SELECT id, content, len(regexp_extract_all(content, '[A-Za-z0-9_]+|\S')) AS n FROM c)
@@ -38,4 +53,5 @@ ORACLES: dict[str, str] = {
                  lambda w: len(regexp_extract_all(w, '[A-Za-z0-9_]+|\S')))) > 1024
                THEN 'forced' ELSE 'boundary' END AS cut
         FROM t WHERE n > 1024""",
+    "p4_found": "WITH" + ",".join(_P4.format(f=f) for f in ("vector", "code_vector")) + " " + " UNION ALL ".join(_P4_PAIRS.format(f=f) for f in ("vector", "code_vector")),
 }
