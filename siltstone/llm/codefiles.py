@@ -122,7 +122,8 @@ def classify_files(files: DataFrame, scope_col: str, path_col: str, content_col:
     sha = F.when(F.length("content") > 0, F.sha2("content", 256))
     judged = code.withColumn("sha", sha).mapInArrow(_judge_batches, "scope string, path string, sha string, verdict string").distinct()
     judged = judged.withColumn("third", in_third_party(F.col("path")))
-    kept = judged.where("third and sha is not null").groupBy("sha").agg(F.lit(True).alias("copy"))
+    # hashes of third-party files come from the files again, in the JVM: nothing is lexed twice
+    kept = code.where(in_third_party(F.col("path"))).select(sha.alias("sha")).where("sha is not null").groupBy("sha").agg(F.lit(True).alias("copy"))
     verdict = F.when(F.col("third") | F.coalesce("copy", F.lit(False)), F.lit("third_party")).otherwise(F.col("verdict"))
     return judged.join(kept, "sha", "left").select("scope", "path", verdict.alias("verdict")).where("verdict is not null").distinct()
 
