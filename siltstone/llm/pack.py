@@ -84,35 +84,58 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return sum(b) <= sum(a) and place(0)
 
 
-def fillings(counts: Counter[int], room: int, waste: int, most: int = 400, keep: int = 24) -> list[tuple[int, ...]]:
-    """Undominated sets of sizes that leave at most `waste` of `room`, least waste first."""
-    values = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
-    found: list[tuple[int, ...]] = []
-    if room <= waste:
-        found.append(())
-    budget = most
-
-    def grow(start: int, left: int, chosen: tuple[int, ...]) -> None:
-        nonlocal budget
-        for i in range(start, len(values)):
-            v = values[i]
-            if v > left:
+class Stock:
+    """Items left by size, with a bit for every size there is, so that the largest size up to some
+    room is one mask and one bit length."""
+
+    def __init__(self, sizes: list[int]):
+        self.n = Counter(sizes)
+        self.mask = 0
+        for s in self.n:
+            self.mask |= 1 << s
+
+    def take(self, items: list[int] | tuple[int, ...]) -> None:
+        for s in items:
+            self.n[s] -= 1
+            if not self.n[s]:
+                self.mask &= ~(1 << s)
+
+    def put(self, items: list[int] | tuple[int, ...]) -> None:
+        for s in items:
+            self.n[s] += 1
+            self.mask |= 1 << s
+
+    def below(self, most: int) -> int:
+        """Bits of the sizes from 1 to `most`."""
+        return self.mask & ((2 << most) - 1) & ~1 if most > 0 else 0
+
+
+def fillings(stock: Stock, room: int, waste: int, most: int = 400, keep: int = 8) -> list[tuple[int, ...]]:
+    """Undominated sets of sizes that leave at most `waste` of `room`, least waste first. The walk
+    takes large sizes first, `most` steps at most, and ends early once it has enough full ones."""
+    found: list[tuple[int, ...]] = [()] if room <= waste else []
+    budget, full = most, 0
+
+    def grow(top: int, left: int, chosen: tuple[int, ...]) -> None:
+        nonlocal budget, full
+        bits = stock.below(min(top, left))
+        while bits and budget > 0 and full < keep:
+            v = bits.bit_length() - 1
+            bits &= (1 << v) - 1
+            if chosen.count(v) >= stock.n[v]:
                 continue
-            if budget <= 0:
-                return
-            if v * 64 < left - waste and len(chosen) > 6:  # too small to close the gap in reach
-                return
-            if chosen.count(v) < counts[v]:
-                now = (*chosen, v)
-                budget -= 1
-                if left - v <= waste:
-                    found.append(now)
-                grow(i, left - v, now)
-
-    grow(0, room, ())
+            now = (*chosen, v)
+            budget -= 1
+            if left - v <= waste:
+                found.append(now)
+                full += left == v
+            if left > v:
+                grow(v, left - v, now)
+
+    grow(room, room, ())
     found.sort(key=lambda f: (-sum(f), len(f)))
     out: list[tuple[int, ...]] = []
-    for f in found[: 8 * keep]:
+    for f in found[: 4 * keep]:
         if len(out) >= keep:
             break
         if not any(_dominates(g, f) for g in out if len(g) <= 8 and len(f) <= 8):
@@ -120,48 +143,48 @@ def fillings(counts: Counter[int], room: int, waste: int, most: int = 400, keep:
     return out
 
 
-def bin_completion(sizes: list[int], capacity: int, search_nodes: int = 20_000) -> list[list[int]]:
+def bin_completion(sizes: list[int], capacity: int, search_nodes: int = 5_000) -> list[list[int]]:
     """A packing of positive sizes; optimal where the search ends before its bound."""
     incumbent = best_fit_decreasing(sizes, capacity)
     bound, total = lower_bound(sizes, capacity), sum(sizes)
     nodes = search_nodes
     while len(incumbent) > bound and nodes > 0:
-        allowed = (len(incumbent) - 1) * capacity - total  # waste of a packing with one less
-        counts = Counter(sizes)
-        order = sorted(counts, reverse=True)
-        stack: list[tuple[list[tuple[int, ...]], list[int] | None, int]] = []
-        used, better = 0, None
-        while True:
-            largest = next((s for s in order if counts[s]), None)
-            if largest is None:
-                better = [b for _, b, _ in stack if b]
-                break
-            counts[largest] -= 1
-            options = fillings(counts, capacity - largest, allowed - used)
-            counts[largest] += 1
-            stack.append(([(largest, *f) for f in reversed(options)], None, used))
-            while stack:  # next branch, or back
-                opts, placed, before = stack[-1]
-                if placed:
-                    counts.update(placed)
-                nodes -= 1
-                if opts and nodes > 0:
-                    b = list(opts.pop())
-                    counts.subtract(b)
-                    stack[-1] = (opts, b, before)
-                    used = before + capacity - sum(b)
-                    break
-                stack.pop()
-            else:
-                break
-            if used > allowed:
-                continue
+        better, nodes = _search(sizes, capacity, (len(incumbent) - 1) * capacity - total, nodes)
         if better is None:
             break
         incumbent = better
     return incumbent
 
 
+def _search(sizes: list[int], capacity: int, allowed: int, nodes: int) -> tuple[list[list[int]] | None, int]:
+    """(a packing that wastes at most `allowed`, or None; nodes left), depth first."""
+    stock, used = Stock(sizes), 0
+    stack: list[list] = []  # [fillings left, container placed, waste before it]
+    while stock.mask:
+        largest = stock.mask.bit_length() - 1
+        stock.take((largest,))
+        options = fillings(stock, capacity - largest, allowed - used)
+        stock.put((largest,))
+        stack.append([[(largest, *f) for f in reversed(options)], None, used])
+        while True:  # the next branch here, or back
+            if not stack:
+                return None, nodes
+            level = stack[-1]
+            if level[1]:
+                stock.put(level[1])
+                level[1] = None
+            if level[0]:
+                if nodes <= 0:
+                    return None, 0
+                nodes -= 1
+                level[1] = level[0].pop()
+                stock.take(level[1])
+                used = level[2] + capacity - sum(level[1])
+                break
+            stack.pop()
+    return [list(placed) for _, placed, _ in stack], nodes
+
+
 def pack_shard(ids: list[tuple], sizes: list[int], capacity: int, search_nodes: int) -> list[tuple[int, tuple]]:
     """(container, item) of all items of a shard; empty items go into the first container."""
     bins = bin_completion([s for s in sizes if s > 0], capacity, search_nodes)
@@ -182,7 +205,7 @@ def _pack_group(capacity: int, search_nodes: int):
     return run
 
 
-def pack_documents(df: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY, rank_file: str = RANK_FILE, shard_items: int = 4096, search_nodes: int = 20_000) -> DataFrame:
+def pack_documents(df: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY, rank_file: str = RANK_FILE, shard_items: int = 4096, search_nodes: int = 5_000) -> DataFrame:
     """(container_id, doc_id, part, first_token, n_tokens)."""
     ship(df.sparkSession)
     sized = token_counts(df, id_col, text_col, rank_file)
