@@ -341,7 +341,7 @@ def _entry_udf():
 
 
 def _settle(values: Column) -> Column:
-    return F.when(F.size(values) == 0, F.lit(None)).when(F.size(values) == 1, values[0]).otherwise(F.lit("CONFLICT"))
+    return F.when(values.isNull() | (F.size(values) == 0), F.lit(None)).when(F.size(values) == 1, values[0]).otherwise(F.lit("CONFLICT"))
 
 
 def resolve_licenses(docs: DataFrame, files: DataFrame, versions: DataFrame, sources: DataFrame, reference: DataFrame) -> DataFrame:
