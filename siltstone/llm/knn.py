@@ -146,16 +146,16 @@ def _assign(graph_b, replicate: float, max_copies: int, prune: float, min_lists:
                 near = dist[:, :1] + 1e-6
                 post = ((dist <= (1 + replicate) * near) & (place < max_copies)) & (ids >= 0)
                 look = (((dist <= (1 + prune) * near) & (place < max_lists)) | (place < min_lists)) & (ids >= 0)
-                for side, m in ((0, post), (1, look)):
-                    r, c = np.nonzero(m)
-                    yield pd.DataFrame({"list": ids[r, c].astype(np.int32), "side": np.int8(side), "vid": part["vid"].to_numpy()[r], "vec": part["vec"].to_numpy()[r]})
+                r, c = np.nonzero(post | look)  # side: 1 posted, 2 searches, 3 both
+                side = post[r, c].astype(np.int8) + 2 * look[r, c].astype(np.int8)
+                yield pd.DataFrame({"list": ids[r, c].astype(np.int32), "side": side, "vid": part["vid"].to_numpy()[r], "vec": part["vec"].to_numpy()[r]})
 
     return run
 
 
 def _block_top(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        p, q = pdf[pdf["side"] % 2 == 1], pdf[pdf["side"] >= 2]
         if not len(p) or not len(q):
             return pd.DataFrame({"vid": [], "near": []})
         a, b = normalised(_matrix(q["vec"])), normalised(_matrix(p["vec"]))
@@ -201,12 +201,18 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int = 64,
 
     placed = staged(points.mapInPandas(_assign(graph_b, replicate, max_copies, prune, min_lists, max_lists), "list int, side byte, vid bigint, vec array<float>"), "postings")
     # at most one row a list (max_sample / leaf rows): blocks of each side
-    size = placed.groupBy("list").agg(F.ceil(F.count_if(F.col("side") == 0) / block).cast("int").alias("np"), F.ceil(F.count_if(F.col("side") == 1) / block).cast("int").alias("nq"))
+    posted, looks = F.col("side") % 2 == 1, F.col("side") >= 2
+    size = placed.groupBy("list").agg(F.greatest(F.ceil(F.count_if(posted) / block), F.lit(1)).cast("int").alias("np"), F.greatest(F.ceil(F.count_if(looks) / block), F.lit(1)).cast("int").alias("nq"))
     cut = placed.join(F.broadcast(size), "list")
-    own = F.pmod(F.xxhash64("vid"), F.when(F.col("side") == 0, F.greatest("np", F.lit(1))).otherwise(F.greatest("nq", F.lit(1)))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.greatest(F.when(F.col("side") == 0, F.col("nq")).otherwise(F.col("np")), F.lit(1)) - 1))
-    cut = cut.select("list", "side", "vid", "vec", own.alias("own"), other.alias("other"))
-    cut = cut.select("list", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("pb"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("qb"), "side", "vid", "vec")
+    own_p, own_q = (F.pmod(F.xxhash64("vid"), F.col(n)).cast("int") for n in ("np", "nq"))
+    # a row that is posted meets every block of searches and one that searches every block of
+    # postings; in its own block pair a row that does both goes once
+    as_post = F.transform(F.sequence(F.lit(0), F.col("nq") - 1), lambda k: F.struct(own_p.alias("pb"), k.alias("qb"), F.when(looks & (k == own_q), 3).otherwise(1).cast("byte").alias("side")))
+    as_look = F.transform(F.sequence(F.lit(0), F.col("np") - 1), lambda k: F.struct(k.alias("pb"), own_q.alias("qb"), F.lit(2).cast("byte").alias("side")))
+    as_look = F.when(posted, F.filter(as_look, lambda x: x["pb"] != own_p)).otherwise(as_look)
+    none = F.filter(as_post, lambda x: F.lit(False))
+    place = F.concat(F.when(posted, as_post).otherwise(none), F.when(looks, as_look).otherwise(none))
+    cut = cut.select("list", "vid", "vec", F.explode(place).alias("p")).select("list", "p.pb", "p.qb", "p.side", "vid", "vec")
     tops = cut.groupBy("list", "pb", "qb").applyInPandas(_block_top(k + 1), "vid bigint, near array<struct<d:double,nid:bigint>>")
     best = tops.groupBy("vid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("near", lambda s: F.struct(F.round(s["d"], 12).alias("d"), s["nid"].alias("nid"))))))), 1, k + 1).alias("near"))
 
