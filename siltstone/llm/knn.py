@@ -121,7 +121,8 @@ class CentroidGraph:
 
 
 def _matrix(col) -> np.ndarray:
-    return np.stack([np.asarray(x, np.float32) for x in col]) if len(col) else np.zeros((0, 1), np.float32)
+    """Vectors from the bytes they travel in."""
+    return np.frombuffer(b"".join(col), np.float32).reshape(len(col), -1) if len(col) else np.zeros((0, 1), np.float32)
 
 
 def _direction_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +132,8 @@ def _direction_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         if b.num_rows:
             v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in (np.round(normalised(v), 7) + 0.0).astype(np.float32)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), b.column(1)], names=["id", "dir", "vec"])
+            raw = [x.tobytes() for x in np.ascontiguousarray(v, np.float32)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], names=["id", "dir", "vec"])
 
 
 def _assign(graph_b, replicate: float, max_copies: int, prune: float, min_lists: int, max_lists: int):
@@ -157,7 +159,7 @@ def _block_top(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p, q = pdf[pdf["side"] % 2 == 1], pdf[pdf["side"] >= 2]
         if not len(p) or not len(q):
-            return pd.DataFrame({"vid": [], "near": []})
+            return pd.DataFrame({"vid": [], "d": [], "nid": []})
         a, b = normalised(_matrix(q["vec"])), normalised(_matrix(p["vec"]))
         pid, qid = p["vid"].to_numpy(), q["vid"].to_numpy()
         s = a @ b.T
@@ -166,7 +168,9 @@ def _block_top(k: int):
         s, pid = s[:, order], pid[order]
         top = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :k] if s.shape[1] <= 4 * k else _best(s, k)
         got = np.take_along_axis(s, top, 1)
-        return pd.DataFrame({"vid": qid, "near": [[{"d": -float(c), "nid": int(n)} for c, n in zip(cs, pid[t], strict=True) if c > -9] for cs, t in zip(got, top, strict=True)]})
+        near = pid[top]
+        ok = got.ravel() > -9
+        return pd.DataFrame({"vid": np.repeat(qid, top.shape[1])[ok], "d": np.round(-got.ravel()[ok], 12), "nid": near.ravel()[ok]})
 
     return run
 
@@ -183,7 +187,7 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int = 64,
     vec = F.col(vec_col).cast("array<float>")
     src = df.select(F.col(id_col).cast("bigint").alias("id"), vec.alias("vec")).where("id is not null and vec is not null")
     src = src.where((F.size("vec") == dim) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0))
-    rows = src.mapInArrow(_direction_batches, "id bigint, dir binary, vec array<float>").groupBy("id").agg(F.min(F.struct("vec", "dir")).alias("m")).select("id", "m.dir", "m.vec")
+    rows = src.mapInArrow(_direction_batches, "id bigint, dir binary, vec binary").groupBy("id").agg(F.min(F.struct("vec", "dir")).alias("m")).select("id", "m.dir", "m.vec")
     named = staged(rows, "vectors")
     reps = named.groupBy("dir").agg(F.min("id").alias("vid"))
     members = named.join(reps, "dir").select("id", "vid")
@@ -199,7 +203,7 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int = 64,
     x = normalised(_matrix(sample["vec"] if len(sample) else points.limit(1).toPandas()["vec"])).astype(np.float32)
     graph_b = spark.sparkContext.broadcast(CentroidGraph(fit_centroids(x, leaf)))
 
-    placed = staged(points.mapInPandas(_assign(graph_b, replicate, max_copies, prune, min_lists, max_lists), "list int, side byte, vid bigint, vec array<float>"), "postings")
+    placed = staged(points.mapInPandas(_assign(graph_b, replicate, max_copies, prune, min_lists, max_lists), "list int, side byte, vid bigint, vec binary"), "postings")
     # at most one row a list (max_sample / leaf rows): blocks of each side
     posted, looks = F.col("side") % 2 == 1, F.col("side") >= 2
     size = placed.groupBy("list").agg(F.greatest(F.ceil(F.count_if(posted) / block), F.lit(1)).cast("int").alias("np"), F.greatest(F.ceil(F.count_if(looks) / block), F.lit(1)).cast("int").alias("nq"))
@@ -213,8 +217,8 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int = 64,
     none = F.filter(as_post, lambda x: F.lit(False))
     place = F.concat(F.when(posted, as_post).otherwise(none), F.when(looks, as_look).otherwise(none))
     cut = cut.select("list", "vid", "vec", F.explode(place).alias("p")).select("list", "p.pb", "p.qb", "p.side", "vid", "vec")
-    tops = cut.groupBy("list", "pb", "qb").applyInPandas(_block_top(k + 1), "vid bigint, near array<struct<d:double,nid:bigint>>")
-    best = tops.groupBy("vid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("near", lambda s: F.struct(F.round(s["d"], 12).alias("d"), s["nid"].alias("nid"))))))), 1, k + 1).alias("near"))
+    tops = cut.groupBy("list", "pb", "qb").applyInPandas(_block_top(k + 1), "vid bigint, d double, nid bigint")
+    best = tops.groupBy("vid").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "nid"))), 1, k + 1).alias("near"))
 
     # from directions to ids: the k + 1 smallest ids of a direction are enough
     heads = members.groupBy("vid").agg(F.count("*").alias("m"), F.min("id").alias("lo"))
