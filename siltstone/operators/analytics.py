@@ -146,3 +146,19 @@ def overview_block(parts: dict[str, DataFrame]) -> DataFrame:
         j = j.select(F.lit(name).alias("section"), F.concat(F.lit("["), F.array_join("js", ","), F.lit("]")).alias("payload"))
         out = j if out is None else out.unionByName(j)
     return out
+
+
+class Cached:
+    """Rows of a small result, computed again after `seconds`."""
+
+    def __init__(self, build, seconds: float = 60.0, clock=None):
+        import time
+
+        self.build, self.seconds, self.clock = build, seconds, clock or time.monotonic
+        self.rows, self.at = None, None
+
+    def get(self) -> list:
+        now = self.clock()
+        if self.at is None or now - self.at >= self.seconds:
+            self.rows, self.at = self.build().collect(), now
+        return self.rows

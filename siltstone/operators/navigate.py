@@ -120,5 +120,5 @@ def keyset_page(rows: DataFrame, key: str, after: str | None, n: int) -> DataFra
     r = rows if after is None else rows.where(F.col(key) > after)
     got = r.orderBy(key).limit(n + 1)
     w = Window.orderBy(key)  # n + 1 rows
-    return got.withColumn("k", F.row_number().over(w)).withColumn("more", F.max("k").over(Window.partitionBy()) > n).where(F.col("k") <= n).drop("k")
+    return got.withColumn("_k", F.row_number().over(w)).withColumn("more", F.max("_k").over(Window.partitionBy()) > n).where(F.col("_k") <= n).drop("_k")
 

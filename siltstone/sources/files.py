@@ -48,3 +48,30 @@ def skipped(scanned: DataFrame) -> DataFrame:
 def bodies(scanned: DataFrame) -> DataFrame:
     """Files to ingest with their text."""
     return scanned.where("skip_reason IS NULL").withColumn("body", text.unix_text(F.col("content").cast("string"))).drop("content", "skip_reason")
+
+
+def ignore_rules(lines: list[str]) -> list[tuple[bool, str]]:
+    """(keeps, regular expression) of each rule of an ignore file, in order."""
+    out = []
+    for raw in lines:
+        line = raw.rstrip()
+        if not line or line.startswith("#"):
+            continue
+        keeps, line = line.startswith("!"), line.removeprefix("!")
+        only_dir, line = line.endswith("/"), line.rstrip("/")
+        rooted, line = "/" in line, line.removeprefix("/")
+        body = text.glob_regex(line)[1:-1].replace(".*", "[^/]*") if "**" not in line else text.glob_regex(line)[1:-1]
+        out.append((keeps, ("^" if rooted else "(^|/)") + body + ("/" if only_dir else "(/|$)")))
+    return out
+
+
+def not_ignored(path: Column, lines: list[str]) -> Column:
+    """Whether the rules of an ignore file let a path through; the last rule that matches decides."""
+    verdict = F.lit(True)
+    for keeps, r in ignore_rules(lines):
+        verdict = F.when(path.rlike(r), F.lit(keeps)).otherwise(verdict)
+    return verdict
+
+
+def not_hidden(path: Column) -> Column:
+    return ~path.rlike(r"(^|/)\.[^/]+")

@@ -3,11 +3,10 @@ from listings and sitemaps; matching of files and pages."""
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
@@ -129,8 +128,13 @@ def pinned_dirs(urls: DataFrame, least: int = PIN_LEAVES) -> DataFrame:
 
 
 def match_pages(files: DataFrame, urls: DataFrame) -> DataFrame:
-    """(path, url): the page of each file: same last part, then the longest common tail of both
+    """(path, url): the page of each file: the first page that ends in the file's slug (column
+    `slug`, if there is one), else the same last part and then the longest common tail of both
     paths; no page on ties. The join is by the last part; only files and pages that share it meet."""
+    if "slug" in files.columns:
+        last = urls.select("url", F.element_at(text.url_parts(F.col("url")), -1).alias("slug"))
+        by_slug = files.where("slug IS NOT NULL").join(last, "slug").groupBy("path").agg(F.min("url").alias("url"))
+        return by_slug.unionByName(match_pages(files.select("path").join(by_slug, "path", "left_anti"), urls))
     f = files.select("path").distinct().withColumn("fp", text.file_parts(F.col("path"))).where(F.size("fp") > 0).withColumn("last", F.element_at("fp", -1))
     u = urls.select("url").distinct().withColumn("up", text.url_parts(F.col("url"))).where(F.size("up") > 0).withColumn("last", F.element_at("up", -1))
     j = f.join(u, "last").withColumn("tail", text.common_tail(F.col("fp"), F.col("up")))
@@ -155,11 +159,3 @@ def generate(urls: DataFrame) -> DataFrame:
     heads = shared.select("dir", F.lit("prefix").alias("entry"), F.col("dir").alias("target"), F.col("prefix").alias("url"))
     return rows.unionByName(heads).unionByName(pins.select("dir", F.lit("path").alias("entry"), F.col("dir").alias("target"), F.lit(None).cast("string").alias("url")))
 
-
-def first_of(df: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
-
-def valid_target(p: str) -> bool:
-    return not re.match(r"/|.*(^|/)\.\.(/|$)", p)

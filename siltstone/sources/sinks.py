@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from siltstone.operators.lifecycle import status_of
 
@@ -44,9 +46,6 @@ def read(spark: SparkSession, base: str, name: str) -> DataFrame:
 def embed_texts(df: DataFrame, text_col: str, out_col: str, embed) -> DataFrame:
     """A vector column by a plug-in: `embed(list of texts) -> list of vectors`, called per Arrow
     batch in the workers."""
-    import pandas as pd
-    from pyspark.sql.types import ArrayType, FloatType
-
     @F.pandas_udf(ArrayType(FloatType()))
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(list(embed(texts.fillna("").tolist())))
