@@ -69,7 +69,7 @@ def _width_table() -> dict[int, str]:
     return out
 
 
-LEVEL = {**_width_table(), **dict.fromkeys(SPACES, " "), **dict.fromkeys(INVISIBLE), 0x00B5: "μ"}
+LEVEL = {**_width_table(), **dict.fromkeys(SPACES, " "), **dict.fromkeys(INVISIBLE), 0x00B5: "μ", 0x0261: "g"}
 _PLAIN = re.compile(r"[\x00-\x7f]*")
 #: Runs of letters with their marks; only such with a letter beyond ASCII can change.
 _TOKEN = re.compile(r"(?:[^\W\d_]|[̀-ͯ])+")
