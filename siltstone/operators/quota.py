@@ -67,16 +67,23 @@ def live(overrides: DataFrame, as_of: str) -> DataFrame:
     return overrides.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.to_timestamp(F.lit(as_of)))).orderBy(F.desc("created_at"), "id")
 
 
-def by_network(requests: DataFrame, overrides: DataFrame, ip_col: str = "ip", max_overrides: int = 10_000) -> DataFrame:
-    """Requests with the override of the longest matching prefix, the newest on ties. Each IPv4
-    network is looked up by its (prefix, low bound): an address is exploded into its 33 possible
-    keys, so the join is by equality at any number of rows."""
+def _network_of(n: Column, prefix: Column) -> Column:
+    """Low bound of the network of this prefix that holds the address."""
+    size = F.element_at(F.array(*[F.lit(1 << (32 - p)) for p in range(33)]), prefix + 1)
+    return n - n % size
+
+
+def by_network(requests: DataFrame, overrides: DataFrame, ip_col: str = "ip") -> DataFrame:
+    """Requests with the override of the longest matching prefix, the newest on ties. Networks are
+    looked up by (prefix, low bound): an address has one key for each prefix in use (33 at most),
+    so the join is by equality at any number of rows."""
     b = cidr_bounds(F.col("cidr"))
     o = overrides.withColumn("b", b).where("b IS NOT NULL").select(F.col("b.prefix").alias("prefix"), F.col("b.low").alias("low"), F.struct("created_at", F.col("id").alias("override_id")).alias("o"))
     o = o.groupBy("prefix", "low").agg(F.max("o").alias("o"))
+    used = sorted(r.prefix for r in o.select("prefix").distinct().collect())  # 33 values at most
     n = ipv4(F.col(ip_col))
-    keys = F.transform(F.sequence(F.lit(0), F.lit(32)), lambda p: F.struct(p.alias("prefix"), (n - n % F.pow(F.lit(2.0), 32 - p).cast("bigint")).alias("low")))
-    ips = requests.select(ip_col).distinct().where(n.isNotNull()).select(ip_col, F.explode(keys).alias("k")).select(ip_col, "k.prefix", "k.low")
+    keys = F.array(*[F.struct(F.lit(p).alias("prefix"), (F.col("n") - F.col("n") % F.lit(1 << (32 - p))).alias("low")) for p in used]) if used else F.array().cast("array<struct<prefix:int,low:bigint>>")
+    ips = requests.select(ip_col).distinct().withColumn("n", n).where("n IS NOT NULL").select(ip_col, F.explode(keys).alias("k")).select(ip_col, "k.prefix", "k.low")
     best = ips.join(o, ["prefix", "low"]).groupBy(ip_col).agg(F.max_by("o", "prefix").alias("o"), F.max("prefix").alias("prefix"))
     return requests.join(best.select(ip_col, F.col("o.override_id").alias("override_id"), "prefix"), ip_col, "left")
 
@@ -90,7 +97,7 @@ def overlapping(overrides: DataFrame) -> DataFrame:
     """Pairs of networks that share addresses: one contains the other, so the shorter prefix of a
     network is one of its ancestors; the join is by equality."""
     o = overrides.withColumn("b", cidr_bounds(F.col("cidr"))).where("b IS NOT NULL").select("id", "cidr", F.col("b.prefix").alias("prefix"), F.col("b.low").alias("low"))
-    up = F.transform(F.sequence(F.lit(0), F.col("prefix")), lambda p: F.struct(p.alias("prefix"), (F.col("low") - F.col("low") % F.pow(F.lit(2.0), 32 - p).cast("bigint")).alias("low")))
+    up = F.transform(F.sequence(F.lit(0), F.col("prefix")), lambda p: F.struct(p.alias("prefix"), _network_of(F.col("low"), p).alias("low")))
     inner = o.select(F.col("id").alias("inner_id"), F.explode(up).alias("k")).select("inner_id", "k.prefix", "k.low")
     return inner.join(o.select(F.col("id").alias("outer_id"), "prefix", "low"), ["prefix", "low"]).where((F.col("inner_id") != F.col("outer_id"))).select("outer_id", "inner_id").distinct()
 
