@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.session import table
+from siltstone.session import staged, table
 
 # The closed value sets of the data model.
 DOCUMENT_KINDS = ("markdown", "code", "plaintext")
@@ -27,14 +27,33 @@ PROVENANCE = (
 )
 
 
-def one_per_id(df: DataFrame, *order: Column) -> DataFrame:
-    """Rows of an id that are equal in every column, or come late, count once."""
+BROADCAST_IDS = 100_000  # repeated ids that are broadcast (under 10 MB); more are shuffled
+
+
+def one_per_id(df: DataFrame) -> DataFrame:
+    """Rows of an id that are equal in every column, or come late, count once. The columns that are
+    used move in a shuffle, so this is for narrow reads."""
     return df.dropDuplicates(["id"])
 
 
+def first_of_each_id(raw: DataFrame) -> DataFrame:
+    """The same for wide reads, without moving a row: ids alone are grouped to find the repeated
+    ones and the place (file and row) of their first; every other place of such an id is filtered
+    out while scanning. `raw` is a Parquet table."""
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+    again = staged(raw.select("id", place.alias("p")).groupBy("id").agg(F.min("p").alias("keep"), F.count("*").alias("n")).where("n > 1").select("id", "keep"), "repeated")
+    n = again.count()
+    if n == 0:
+        return raw
+    if n > BROADCAST_IDS:
+        return one_per_id(raw)
+    rows = raw.select("*", place.alias("_p")).join(F.broadcast(again), "id", "left")
+    return rows.where(F.col("keep").isNull() | (F.col("keep") == F.col("_p"))).select(raw.columns)
+
+
 @dataclass(frozen=True)
 class Corpus:
-    """The tables of one data directory. Every property is a plan; nothing is computed here."""
+    """The tables of one data directory. Properties are plans; only `wide_chunks` looks at ids first."""
 
     spark: SparkSession
     path: str
@@ -70,6 +89,11 @@ class Corpus:
     def chunks(self) -> DataFrame:
         return one_per_id(self.raw("chunk"))
 
+    @cached_property
+    def wide_chunks(self) -> DataFrame:
+        """Chunks for reads of texts and vectors."""
+        return first_of_each_id(self.raw("chunk"))
+
     @cached_property
     def active_versions(self) -> DataFrame:
         return self.versions.where("is_active")

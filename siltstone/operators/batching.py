@@ -6,12 +6,14 @@ The folds need the order and look at one running total, so they run on the array
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.session import ship
+
 CONTEXT_LIMIT = 25_600  # fixed value: tokens of a context group
 
 
@@ -81,16 +83,20 @@ def fold_groups(sizes: Column, limit: int) -> Column:
 
 
 def context_groups(chunks: DataFrame, limit: int = CONTEXT_LIMIT) -> DataFrame:
-    """(document_id, chunk_index, group_no): balanced context groups of each document's chunks."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_index", kind="stable")
-        sizes = [min(max(int(t), 0), limit) for t in pdf["tokens"]]
-        no = [g for g, (a, b) in enumerate(balanced(sizes, limit)) for _ in range(a, b)]
-        return pd.DataFrame({"document_id": pdf["document_id"].to_numpy(), "chunk_index": pdf["chunk_index"].to_numpy(), "group_no": no})
-
-    src = chunks.select("document_id", "chunk_index", F.coalesce("token_count", F.lit(0)).alias("tokens"))
-    return src.groupBy("document_id").applyInPandas(run, "document_id string, chunk_index int, group_no int")
+    """(document_id, chunk_index, group_no): balanced context groups of each document's chunks. A
+    document's sizes are one array, so Arrow batches hold many documents."""
+    ship(chunks.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [[g for g, (x, y) in enumerate(balanced([min(t, limit) for t in sizes], limit)) for _ in range(x, y)] for sizes in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], names=["document_id", "at", "g"])
+
+    sizes = F.greatest(F.coalesce("token_count", F.lit(0)), F.lit(0))
+    each = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", sizes.alias("t")))).alias("c"))
+    each = each.select("document_id", F.transform("c", lambda x: x["chunk_index"]).alias("at"), F.transform("c", lambda x: x["t"]).alias("t"))
+    got = each.mapInArrow(run, "document_id string, at array<int>, g array<int>")
+    return got.select("document_id", F.explode(F.arrays_zip("at", "g")).alias("z")).select("document_id", F.col("z.at").alias("chunk_index"), F.col("z.g").alias("group_no"))
 
 
 def filled_groups(chunks: DataFrame, limit: int) -> DataFrame:

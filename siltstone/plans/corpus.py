@@ -314,7 +314,7 @@ def chunk_hashes(spark: SparkSession, sf: str) -> DataFrame:
     """The hash of every chunk, and whether the stored one agrees."""
     h = text.chunk_hash(F.col("content"))
     stored = F.regexp_replace(F.lower(F.trim("content_hash")), r"^sha-?256[:=]", "")
-    return _c(spark, sf).chunks.select("id", h.alias("h"), (h == stored).alias("fresh"))
+    return _c(spark, sf).wide_chunks.select("id", h.alias("h"), (h == stored).alias("fresh"))
 
 
 @query(

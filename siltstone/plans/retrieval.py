@@ -78,7 +78,13 @@ _LISTS = f"WITH {LIVE}, {_vec_sql('embedding', 'vector')}, {_vec_sql('code_embed
 
 
 def _three(spark: SparkSession, sf: str) -> list[DataFrame]:
-    return [vector_topk(spark, sf), code_vector_topk(spark, sf), lexical_topk(spark, sf)]
+    c = _corpus(spark, sf)
+    chunks, q = search.searchable(c), _queries(c)
+    return [
+        search.nearest_chunks(chunks, q.select("query_id", "vector"), DIM),
+        search.nearest_chunks(chunks, q.select("query_id", F.col("code_vector").alias("vector")), DIM, "code_embedding"),
+        search.matching_chunks(chunks, q.select("query_id", "text")),
+    ]
 
 
 @query("hybrid_rrf", f"{_LISTS}, {_fused_sql('query_id', _THREE)} SELECT query_id, id, rrf, place FROM placed WHERE place <= 20")
@@ -318,7 +324,7 @@ def covered_spans(spark: SparkSession, sf: str) -> DataFrame:
 @query("trim_overlaps")
 def trim_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's chunks in index order as one result list, trimmed."""
-    rows = _corpus(spark, sf).chunks.select(F.lit(0).alias("list"), "document_id", "id", "start_byte", "end_byte", "content", F.col("chunk_index").alias("rank"))
+    rows = _corpus(spark, sf).wide_chunks.select(F.lit(0).alias("list"), "document_id", "id", "start_byte", "end_byte", "content", F.col("chunk_index").alias("rank"))
     return overlap.trim_overlaps(rows, ["list"]).select("document_id", "id", "content", "trimmed")
 
 
@@ -349,7 +355,7 @@ def centroid_mean(spark: SparkSession, sf: str) -> DataFrame:
     c = _corpus(spark, sf)
     v = c.active_versions.select(F.col("id").alias("source_version_id"), "source_id")
     s = c.sources.select(F.col("id").alias("source_id"), F.col("kind").alias("label"))
-    rows = c.chunks.where("status = 'ready' AND embedding IS NOT NULL").select("source_version_id", "embedding").join(v, "source_version_id").join(s, "source_id")
+    rows = c.wide_chunks.where("status = 'ready' AND embedding IS NOT NULL").select("source_version_id", "embedding").join(v, "source_version_id").join(s, "source_id")
     m = analytics.centroids(rows, normalise=False)
     return m.select("label", F.posexplode("centroid").alias("pos", "x"), "n").select("label", "pos", F.round("x", 9).alias("m"), "n")
 

@@ -246,3 +246,14 @@ def test_pages_by_key(spark):
     assert sorted(r.k for r in p) == ["c", "d"] and all(r.more for r in p)
     with pytest.raises(ValueError):
         navigate.parse_ids(" , ")
+
+
+def test_repeated_rows_are_filtered_in_place(spark, tmp_path):
+    from siltstone import model
+
+    rows = spark.createDataFrame([(f"i{k % 40}", "t" * (k % 40)) for k in range(60)], "id string, content string")
+    rows.repartition(3).write.parquet(str(tmp_path / "t"))
+    raw = spark.read.parquet(str(tmp_path / "t"))
+    assert sorted(r.id for r in model.first_of_each_id(raw).collect()) == sorted(f"i{k}" for k in range(40))
+    once = raw.where("id = 'i39'")
+    assert model.first_of_each_id(once).columns == ["id", "content"]
