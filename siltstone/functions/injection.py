@@ -8,7 +8,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -121,3 +121,8 @@ def malicious_probability(labels: Column) -> Column:
     bad = F.filter(labels, lambda x: F.lower(x["label"]).rlike("injection|malicious|jailbreak|unsafe|label_1"))
     good = F.filter(labels, lambda x: F.lower(x["label"]).rlike("benign|safe|legit|label_0") & ~F.lower(x["label"]).rlike("unsafe"))
     return F.coalesce(F.array_max(F.transform(bad, lambda x: x["score"])), 1 - F.array_max(F.transform(good, lambda x: x["score"])))
+
+
+def document_probability(windows: DataFrame) -> DataFrame:
+    """(id, probability): the largest of a document's windows (id, probability)."""
+    return windows.groupBy("id").agg(F.max("probability").alias("probability"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.session import staged, table
@@ -27,6 +27,13 @@ PROVENANCE = (
 )
 
 
+def provenance_of(json: Column) -> Column:
+    """The provenance struct of a JSON text; what can't be read has the lowest trust: all fields
+    missing, which every reader takes as unknown and unverified."""
+    read = F.from_json(json, PROVENANCE, {"mode": "PERMISSIVE"})
+    return F.coalesce(read, F.from_json(F.lit("{}"), PROVENANCE))
+
+
 BROADCAST_IDS = 100_000  # repeated ids that are broadcast (under 10 MB); more are shuffled
 
 

@@ -122,3 +122,43 @@ def keyset_page(rows: DataFrame, key: str, after: str | None, n: int) -> DataFra
     w = Window.orderBy(key)  # n + 1 rows
     return got.withColumn("_k", F.row_number().over(w)).withColumn("more", F.max("_k").over(Window.partitionBy()) > n).where(F.col("_k") <= n).drop("_k")
 
+
+# --- lookups ---------------------------------------------------------------------------------------
+
+
+def exists(rows: DataFrame, id_: str) -> bool:
+    """Tells an empty answer from an unknown anchor."""
+    return not rows.where(F.col("id") == id_).select("id").limit(1).isEmpty()
+
+
+def version_at(versions: DataFrame, source_id: str, revision: int) -> DataFrame:
+    return versions.where((F.col("source_id") == source_id) & (F.col("revision") == revision))
+
+
+def documents_by_hash(documents: DataFrame, version_id: str, content_hash: str) -> DataFrame:
+    return documents.where((F.col("source_version_id") == version_id) & (F.lower("content_hash") == content_hash.lower()))
+
+
+def symbols_of_chunk(chunks: DataFrame, id_: str) -> DataFrame:
+    """(position, kind, name, path) of a chunk's symbols."""
+    return chunks.where(F.col("id") == id_).select(F.posexplode("symbol_path").alias("position", "s")).select("position", "s.kind", "s.name", "s.path")
+
+
+def list_sources(sources: DataFrame, kind: str | None = None, retired: bool | None = None, after: str | None = None) -> DataFrame:
+    """Sources by slug; each condition only if it is given."""
+    out = sources
+    if kind is not None:
+        out = out.where(F.col("kind") == kind)
+    if retired is not None:
+        out = out.where(F.col("retired_at").isNotNull() == F.lit(retired))
+    if after is not None:
+        out = out.where(F.col("slug") > after)
+    return out.orderBy("slug")
+
+
+def packages_of(packages: DataFrame, version_id: str) -> DataFrame:
+    return packages.where(F.col("source_version_id") == version_id).orderBy("kind", "name")
+
+
+def chunks_in_order(chunks: DataFrame, document_id: str) -> DataFrame:
+    return chunks.where(F.col("document_id") == document_id).orderBy("chunk_index")

@@ -86,9 +86,10 @@ def version_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.version_coverage(_c(spark, sf))
 
 
-@query("freshness", f"WITH {LIVE_DOC} SELECT min(coalesce(source_modified_at, ingested_at)) AS oldest, max(coalesce(source_modified_at, ingested_at)) AS newest, count(*) AS n_documents FROM ld")
+@query("freshness", f"WITH {LIVE_DOC} SELECT epoch_us(min(coalesce(source_modified_at, ingested_at))) AS oldest_us, epoch_us(max(coalesce(source_modified_at, ingested_at))) AS newest_us, count(*) AS n_documents FROM ld")
 def freshness(spark: SparkSession, sf: str) -> DataFrame:
-    return analytics.freshness(_c(spark, sf))
+    f = analytics.freshness(_c(spark, sf))
+    return f.select(F.unix_micros("oldest").alias("oldest_us"), F.unix_micros("newest").alias("newest_us"), "n_documents")
 
 
 @query(
@@ -195,11 +196,11 @@ def rollback_versions(spark: SparkSession, sf: str) -> DataFrame:
     return v.withColumn("t", target).withColumn("h", has).select("id", F.when(F.col("t"), "active").when(F.col("is_active") & F.col("h"), "inactive").otherwise(F.col("status")).alias("status"))
 
 
-@query("retired_sources", f"SELECT slug, coalesce(retired_at, TIMESTAMPTZ '{AS_OF}+00') AS retired_at FROM corpus_source WHERE kind = 'standalone' UNION ALL SELECT slug, retired_at FROM corpus_source WHERE kind <> 'standalone'")
+@query("retired_sources", f"SELECT slug, epoch_us(coalesce(retired_at, TIMESTAMPTZ '{AS_OF}+00')) AS retired_us FROM corpus_source WHERE kind = 'standalone' UNION ALL SELECT slug, epoch_us(retired_at) FROM corpus_source WHERE kind <> 'standalone'")
 def retired_sources(spark: SparkSession, sf: str) -> DataFrame:
     """All standalone sources retired; a first retirement stays."""
     s = _c(spark, sf).sources
-    return s.select("slug", F.when(F.col("kind") == "standalone", F.coalesce("retired_at", F.to_timestamp(F.lit(AS_OF)))).otherwise(F.col("retired_at")).alias("retired_at"))
+    return s.select("slug", F.unix_micros(F.when(F.col("kind") == "standalone", F.coalesce("retired_at", F.to_timestamp(F.lit(AS_OF)))).otherwise(F.col("retired_at"))).alias("retired_us"))
 
 
 @query("package_upsert", "WITH n AS (SELECT source_version_id, kind, name, 'x' || coalesce(version, '0') AS version FROM source_package WHERE kind = 'npm') SELECT source_version_id, kind, name, version FROM n UNION ALL SELECT source_version_id, kind, name, version FROM source_package WHERE kind <> 'npm'")
@@ -209,9 +210,9 @@ def package_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.upserted(p, new, ["source_version_id", "kind", "name"])
 
 
-@query("embed_failed_work", f"SELECT id, created_at FROM {CHUNK} WHERE status = 'embed_failed'")
+@query("embed_failed_work", f"SELECT id, epoch_us(created_at) AS created_us FROM {CHUNK} WHERE status = 'embed_failed'")
 def embed_failed_work(spark: SparkSession, sf: str) -> DataFrame:
-    return _c(spark, sf).chunks.where("status = 'embed_failed'").select("id", "created_at")
+    return _c(spark, sf).chunks.where("status = 'embed_failed'").select("id", F.unix_micros("created_at").alias("created_us"))
 
 
 @query("active_sources", "SELECT id, slug FROM corpus_source WHERE retired_at IS NULL")

@@ -76,11 +76,12 @@ def without_repeats(events: DataFrame, key: str = "event_id", late: str = "1 hou
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def with_overrides(events: DataFrame, read_overrides) -> Any:
-    """A foreachBatch function that reads the overrides anew for each batch."""
+def with_overrides(read_overrides, out_path: str) -> Any:
+    """A foreachBatch function that reads the overrides anew for each batch and appends its rows
+    with the override that applies."""
     from siltstone.operators.quota import by_network
 
     def run(batch: DataFrame, _: int) -> None:
-        by_network(batch, read_overrides(batch.sparkSession)).write.mode("append").parquet(events)
+        by_network(batch, read_overrides(batch.sparkSession)).write.mode("append").parquet(out_path)
 
     return run

@@ -257,3 +257,15 @@ def test_repeated_rows_are_filtered_in_place(spark, tmp_path):
     assert sorted(r.id for r in model.first_of_each_id(raw).collect()) == sorted(f"i{k}" for k in range(40))
     once = raw.where("id = 'i39'")
     assert model.first_of_each_id(once).columns == ["id", "content"]
+
+
+def test_lookups_and_broken_json(spark):
+    from siltstone import model
+
+    src = spark.createDataFrame([("b", "mixed", None), ("a", "mixed", "2024-01-01"), ("c", "docs_site", None)], "slug string, kind string, retired_at string")
+    assert [r.slug for r in navigate.list_sources(src, "mixed").collect()] == ["a", "b"]
+    assert [r.slug for r in navigate.list_sources(src, retired=False, after="b").collect()] == ["c"]
+    rows = spark.createDataFrame([("x",)], "id string")
+    assert navigate.exists(rows, "x") and not navigate.exists(rows, "y")
+    got = spark.createDataFrame([('{"attribution": "partner", "tags": ["t"], "new": 1}',), ("not json",), (None,)], "j string").select(model.provenance_of(F.col("j")).alias("p")).select("p.attribution", "p.tags").collect()
+    assert [tuple(r) for r in got] == [("partner", ["t"]), (None, None), (None, None)]
