@@ -162,10 +162,11 @@ def _split_batches(max_tokens: int, overlap: int):
     return run
 
 
-def split_oversized(df: DataFrame, id_col: str, text_col: str, headings: Column | None = None, symbols: Column | None = None, max_tokens: int = 1024, overlap: int = 64, only_oversized: bool = False) -> DataFrame:
+def split_oversized(df: DataFrame, id_col: str, text_col: str, headings: Column | None = None, symbols: Column | None = None, max_tokens: int = 1024, overlap: int = 64, only_oversized: bool = False, distinct: bool = True) -> DataFrame:
     """The pieces of every text. `headings` and `symbols` are array<string> columns of `df`.
     With `only_oversized` texts within the limit are left out; those with at most `max_tokens`
-    code points never reach Python."""
+    code points never reach Python. Without `distinct` repeated rows give their pieces again, for
+    callers that reduce the columns first."""
     ship(df.sparkSession)
     if not 0 <= overlap < max_tokens // 2:
         raise ValueError("the overlap must be below half of max_tokens")
@@ -176,16 +177,16 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, headings: Column
     out = src.mapInArrow(_split_batches(max_tokens, overlap), SCHEMA)
     if only_oversized:
         out = out.where("n_pieces > 1")
-    return out.dropDuplicates(["id", "piece", "start_char", "end_char", "text"])
+    return out.dropDuplicates(["id", "piece", "start_char", "end_char", "text"]) if distinct else out
 
 
-def _chunk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _chunk_pieces(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
     chunks = table(spark, sf_dir, "chunk")
-    return split_oversized(chunks, "id", "content", F.col("heading_path"), F.transform("symbol_path", lambda s: s["name"]), only_oversized=True)
+    return split_oversized(chunks, "id", "content", F.col("heading_path"), F.transform("symbol_path", lambda s: s["name"]), only_oversized=True, distinct=distinct)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunk_pieces(spark, sf_dir).select("id", "cut").distinct()
+    return _chunk_pieces(spark, sf_dir, distinct=False).select("id", "cut").distinct()
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
