@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import clean_path, decode
-from siltstone.session import ship, table
+from siltstone.session import ship, staged, table
 
 MAX_REFERENCE = 2000
 UNKNOWN, OTHER = "UNKNOWN", "~other"
@@ -359,7 +359,8 @@ def resolve_licenses(docs: DataFrame, files: DataFrame, versions: DataFrame, sou
     key = F.when(F.col("level") == "file", F.col("path")).when(F.col("level") == "manifest", F.col("path")).otherwise(here)
     grouped = stated.select("scope", "level", key.alias("at"), F.when(F.col("level") == "family", here).otherwise(F.col("path")).alias("path"), F.when(F.col("level") == "family", F.lit("")).otherwise(F.array_join("names", "\n")).alias("own"), "names")
     joined = grouped.groupBy("scope", "level", "path", "own").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("names"))
-    valued = joined.withColumn("value", value("names")).where("value is not null")
+    # a few statements a directory: written once, so that the files are read once
+    valued = staged(joined.withColumn("value", value("names")).where("value is not null"), "statements")
 
     own = valued.where("level = 'file'").groupBy("scope", "path").agg(F.collect_set("value").alias("said"))
     active = versions.where("is_active").select(F.col("id").cast("string").alias("scope"), F.col("source_id").alias("source_id")).distinct()
