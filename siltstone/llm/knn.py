@@ -28,9 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.search import nearest_chunks
 from siltstone.session import ship, staged, table
 
 
@@ -223,8 +224,6 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int = 64,
     # from directions to ids: the k + 1 smallest ids of a direction are enough
     heads = members.groupBy("vid").agg(F.count("*").alias("m"), F.min("id").alias("lo"))
     few = members.join(heads.where("m > 1").select("vid"), "vid", "left_semi")
-    from pyspark.sql import Window
-
     few = few.withColumn("o", F.row_number().over(Window.partitionBy("vid").orderBy("id"))).where(F.col("o") <= k + 1).groupBy("vid").agg(F.array_sort(F.collect_list("id")).alias("head"))
     flat = best.select("vid", F.explode("near").alias("s")).select("vid", F.col("s.d").alias("d"), F.col("s.nid").alias("nid"))
     flat = flat.join(few.withColumnRenamed("vid", "nid"), "nid", "left").select("vid", "d", F.explode(F.coalesce("head", F.array("nid"))).alias("nid"))
@@ -253,3 +252,29 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         pairs = mutual_pairs(nearest_neighbours(q, "pair_id", f), 0.9).select(F.lit(f).alias("field"), F.col("a").alias("pair_id_a"), F.col("b").alias("pair_id_b"))
         out = pairs if out is None else out.unionByName(pairs)
     return out
+
+
+def exact_neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, every: int = 20) -> DataFrame:
+    """(id, neighbour_id) by brute force for the ids divisible by `every`, against all rows; the
+    queries are broadcast in blocks."""
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("vector")).where("id is not null").dropDuplicates(["id"])
+    named = rows.select(F.lpad(F.col("id").cast("string"), 20, "0").alias("id"), "vector")
+    queries = rows.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), "vector")
+    top = nearest_chunks(named, queries, dim, "vector", k + 1).select(F.col("query_id").alias("id"), F.col("id").cast("bigint").alias("neighbour_id"), "rank")
+    others = top.where("id <> neighbour_id")
+    w = Window.partitionBy("id").orderBy("rank")
+    return others.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("id", "neighbour_id")
+
+
+def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the true ten nearest that the index finds, over every row whose id is divisible by
+    20, against all rows."""
+    q = table(spark, sf_dir, "query_pair")
+    out = None
+    for f in ("vector", "code_vector"):
+        true = exact_neighbours(q, "pair_id", f)
+        got = nearest_neighbours(q, "pair_id", f).select("id", "neighbour_id", F.lit(1).alias("hit"))
+        r = true.join(got, ["id", "neighbour_id"], "left").agg(F.count_distinct("id").alias("n_queries"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
+        r = r.select(F.lit(f).alias("field"), "n_queries", "recall")
+        out = r if out is None else out.unionByName(r)
+    return out

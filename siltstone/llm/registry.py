@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_summary": license.p3_summary,
     "p4_found": knn.p4_found,
     "p4_neighbours": knn.p4_neighbours,
+    "p4_recall": knn.p4_recall,
     "p5_found": codefiles.p5_found,
     "p5_verdicts": codefiles.p5_verdicts,
     "p6_ids": encode.p6_ids,

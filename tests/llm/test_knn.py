@@ -65,3 +65,14 @@ def test_leaves_are_balanced():
     sizes = np.bincount((x @ c.T).argmax(1), minlength=len(c))
     assert 40 <= len(c) <= 400 and sizes.max() <= 200
     assert len(K.fit_centroids(np.repeat(x[:1], 300, 0), 50)) == 1
+
+
+def test_exact_neighbours(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(200, 8)).astype(np.float32)
+    ids = np.arange(1, 201)
+    want = exact(ids, v.astype(float), 5)
+    got = {}
+    for r in K.exact_neighbours(frame(spark, ids, v), "id", "vec", dim=8, k=5).collect():
+        got.setdefault(r.id, set()).add(r.neighbour_id)
+    assert got == {i: set(want[i]) for i in ids if i % 20 == 0}
