@@ -83,10 +83,11 @@ class CentroidGraph:
         self.links[:, near:] = rng.integers(0, n, (n, self.links.shape[1] - near))  # long links
         self.entries = np.unique(np.linspace(0, n - 1, min(entries, n)).astype(np.int64))
 
-    def search(self, q: np.ndarray, k: int, beam: int = 32) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, cosines) of about the k nearest centroids of each row, best first."""
+    def search(self, q: np.ndarray, k: int, beam: int = 32, ratio: float | None = None, sure: int = 16) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, cosines) of about the k nearest centroids of each row, best first. With `ratio`
+        only the `sure` best and what lies within (1 + ratio) of the best distance is expanded."""
         n, b = len(self.c), len(q)
-        k, beam = min(k, n), min(max(beam, 2 * k), n)
+        k, beam = min(k, n), min(max(beam, k), n)
         rows = np.arange(b)[:, None]
         seen = np.zeros((b, n), bool)
         ids = np.full((b, beam), -1, np.int64)
@@ -109,6 +110,9 @@ class CentroidGraph:
             done = np.concatenate([done, ~fresh], 1)
             best = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
             ids, sims, done = (np.take_along_axis(x, best, 1) for x in (ids, sims, done))
+            if ratio is not None and sims.shape[1] > sure:
+                dist = np.sqrt(np.maximum(2 - 2 * sims, 0))
+                done[:, sure:] |= dist[:, sure:] > (1 + ratio) * dist[:, :1] + 1e-6
 
         add(np.broadcast_to(self.entries, (b, len(self.entries))))
         while True:
@@ -143,7 +147,7 @@ def _assign(graph_b, replicate: float, max_copies: int, prune: float, min_lists:
             for at in range(0, len(pdf), 1024):
                 part = pdf.iloc[at : at + 1024]
                 q = normalised(_matrix(part["vec"])).astype(np.float32)
-                ids, sims = graph_b.value.search(q, max(max_copies, max_lists))
+                ids, sims = graph_b.value.search(q, max(max_copies, max_lists), ratio=max(prune, replicate))
                 dist = np.sqrt(np.maximum(2 - 2 * sims, 0))
                 place = np.arange(ids.shape[1])[None, :]
                 near = dist[:, :1] + 1e-6
@@ -182,7 +186,7 @@ def _best(s: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(part, np.argsort(-np.round(np.take_along_axis(s, part, 1), 12), axis=1, kind="stable")[:, :k], 1)
 
 
-def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, leaf: int = 64, list_rows: int = 512, max_sample: int = 131_072, replicate: float = 0.04, max_copies: int = 4, prune: float = 0.2, min_lists: int = 4, max_lists: int = 8, block: int = 2048) -> DataFrame:
+def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, leaf: int = 64, list_rows: int = 512, max_sample: int = 131_072, replicate: float = 0.04, max_copies: int = 4, prune: float = 0.25, min_lists: int = 4, max_lists: int = 64, block: int = 2048) -> DataFrame:
     """(id, neighbour_id, rank, cosine) of the k nearest of each id."""
     spark = ship(df.sparkSession)
     vec = F.col(vec_col).cast("array<float>")
