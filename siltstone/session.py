@@ -67,7 +67,11 @@ def ship(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parent
-        target = Path(tempfile.mkdtemp(prefix="siltstone-code-")) / "siltstone.zip"
+        shared = shared_dir(spark).removeprefix("file://")
+        # a shared folder that is mounted takes the archive; from elsewhere Spark's file server sends it
+        base = Path(shared) / "siltstone" / f"code-{uuid.uuid4().hex}" if shared.startswith("/") else Path(tempfile.mkdtemp(prefix="siltstone-code-"))
+        base.mkdir(parents=True, exist_ok=True)
+        target = base / "siltstone.zip"
         with zipfile.ZipFile(target, "w") as z:
             for f in sorted(root.rglob("*.py")):
                 z.write(f, os.path.join("siltstone", f.relative_to(root)))
