@@ -60,7 +60,7 @@ def first_of_each_id(raw: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Corpus:
-    """The tables of one data directory. Properties are plans; only `wide_chunks` looks at ids first."""
+    """The tables of one data directory. Properties are plans; only the wide ones look at ids first."""
 
     spark: SparkSession
     path: str
@@ -101,6 +101,11 @@ class Corpus:
         """Chunks for reads of texts and vectors."""
         return first_of_each_id(self.raw("chunk"))
 
+    @cached_property
+    def wide_documents(self) -> DataFrame:
+        """Documents for filters that should reach the scan: no aggregate lies between."""
+        return first_of_each_id(self.raw("new_document"))
+
     @cached_property
     def active_versions(self) -> DataFrame:
         return self.versions.where("is_active")

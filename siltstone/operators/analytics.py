@@ -15,7 +15,7 @@ def live_documents(corpus: Corpus) -> DataFrame:
     """Documents of active versions of sources that aren't retired, with their source."""
     v = corpus.active_versions.select(F.col("id").alias("source_version_id"), "source_id", "ingested_at")
     s = corpus.sources.where("retired_at IS NULL").select(F.col("id").alias("source_id"), F.col("slug").alias("source_slug"), F.col("kind").alias("source_kind"))
-    return corpus.documents.join(v, "source_version_id").join(s, "source_id")
+    return corpus.wide_documents.join(v, "source_version_id").join(s, "source_id")
 
 
 def facet_values(corpus: Corpus, facet: str) -> DataFrame:
