@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -84,6 +85,35 @@ def test_verdicts(text, want):
     assert G.judge(text, "ts") == want
 
 
+VARIED = "".join(f"export type T{k} = {{ a: number }};\n\nexport function read{k}(x: string) {{\n  const y = parse(x, {k});\n  if (y) {{\n    send(y);\n  }}\n}}\n" for k in range(9))
+MIXED = "".join(f"const a{k} = one({k});\nconst b{k} = one({k});\nlet c{k};\n" for k in range(20))
+
+
+@pytest.mark.parametrize("text,extension,want", [
+    ("// Code generated by maker. DO NOT EDIT.\n\n" + VARIED, "ts", "generated"),
+    (VARIED, "ts", None),
+    (MIXED, "ts", "generated"),
+    (re.sub(r"(a\d+) = ", r"\1=", MIXED), "ts", None),
+    ("".join(f"def f{k}(a,b):\n c=a+b\n if c==b:return a-c\n return c\n" for k in range(20)), "py", "minified"),
+    ("".join(f"def f{k}(a, b):\n    c = a + b\n    if c == b:\n        return a - c\n    return c\n" for k in range(20)), "py", None),
+    (",".join(f"a{k}=go(b{k},c)" for k in range(90)), "js", "minified"),
+    ("const t=[" + ",".join(f'{{"id":{k},"w":"{k * 7919}"}}' for k in range(200)) + "];", "js", "data"),
+])
+def test_verdicts_by_layout(text, extension, want):
+    assert G.judge(text, extension) == want
+
+
+@pytest.mark.parametrize("text,extension", [
+    ("fn go(a: u32) -> u32 {\n    let b = a + 1;\n    if b == 3 {\n        return b;\n    } else {\n        stop();\n    }\n    b - 1\n}\n", "rs"),
+    ("call(\n  " + ",\n  ".join(f"other(name{k}, {k})" for k in range(12)) + "\n);\nnext(1, 2);\n", "ts"),
+])
+def test_canonical_layout_agrees_and_changes_of_it_do_not(text, extension):
+    assert G.layout(text, extension)["agreement"] == 1
+    for was, now in ((" = ", "="), (", ", ","), ("\n    ", "\n      "), ("\n  other", " other"), ("{\n", "{ ")):
+        if was in text:
+            assert G.layout(text.replace(was, now), extension)["agreement"] < 1
+
+
 def test_files_by_path_and_copies(spark):
     body = BODY.encode()
     files = spark.createDataFrame([("v", "src/a.ts", body), ("v", "vendor/p/a.ts", body), ("v", "src/b.ts", body + b"//"), ("v", "vendoring/c.ts", b"go();\nstop(1);\n"), ("v", "deps/e.ts", b""), ("v", "src/e.ts", b""), ("v", "third_party/readme.md", b"x"), ("v", "n.ts", None)], "source_version_id string, path string, content binary")
