@@ -204,15 +204,17 @@ _FAMILY = re.compile(r"(?i)(?:un)?licen[sc]e(?:[-._ ].*)?|copying(?:[-._ ].*)?")
 MANIFESTS = frozenset(["cargo.toml", "package.json", "pyproject.toml"])
 _DECOR = re.compile(r"^\s*(?:(?:///?|#+|/\*+!?|\*+/?|<!--|--|;+|%+|\"\"\"|''')\s*)*|\s*(?:\*/|-->|\"\"\")\s*$")
 _TAIL = r"(.+?)(?:[.;]?\s*$|(?<!\bv)[.;]\s)"
+_SAID = r"(?:licensed|released|distributed|available|offered|covered|published) (?:under|by)"
 _NOTICE = [re.compile(p) for p in (
     r"(?i)^spdx-license-identifier\s*:\s*(.+?)\s*$",
     r"(?i)^@licen[sc]e\s*:?\s+(.+?)\s*$",
     r"(?i)^licen[sc]e\s*:\s*(.+?)\s*$",
-    r"(?i)^(?:(?:this|the) [\w ,]{1,60} is |all [\w ]{1,40} (?:is|are) )?(?:licensed|released|distributed|available|offered|covered|published) (?:under|by) (?:the terms of )?" + _TAIL,
+    r"(?i)^(?:(?:this|the) [\w ,]{1,60} is |all [\w ]{1,40} (?:is|are) )?" + _SAID + r" (?:the terms of )?" + _TAIL,
     r"(?i)^(?:[\w ,'/@.-]{0,120} )?(?:on|under) the (?:terms|conditions) of " + _TAIL,
     r"(?i)^(?:[\w ,'/@.-]{0,120} )?under the conditions of " + _TAIL,
 )]
-_HINT = re.compile(rb"(?i)licen[sc]e|terms of|conditions of|released under|covered by")
+# a file without these can't match any of the patterns: each needs one of them within a line
+_HINT = re.compile(rf"(?i)licen[sc]e|{_SAID}|(?:terms|conditions) of".encode())
 _COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|<!--|--|;|%|\"\"\"|''')")
 
 

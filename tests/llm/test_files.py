@@ -65,6 +65,19 @@ def test_reconciliation(spark):
     assert empty.count() == 0
 
 
+@pytest.mark.parametrize("line,want", [
+    ("Distributed under MIT.", ["MIT"]), ("Available under Apache-2.0.", ["Apache-2.0"]), ("Offered under MIT or ISC.", ["MIT", "ISC"]), ("Published under MPL 2.0.", ["MPL 2.0"]), ("Released by MIT.", ["MIT"]), ("All code here is distributed by ISC.", ["ISC"]),
+    ("Use it on the terms of MIT.", ["MIT"]), ("Copy it under the conditions of MIT.", ["MIT"]), ("Nothing said.", None),
+])
+def test_every_notice_passes_the_filter(line, want):
+    import pyarrow as pa
+
+    for path, text in (("README.md", line), ("a.rs", f"// {line}\ncode()")):
+        batch = pa.RecordBatch.from_arrays([pa.array(["v"]), pa.array([path]), pa.array([text.encode()])], names=["scope", "path", "content"])
+        got = [r for b in L._read_files(REFERENCE)(iter([batch])) for r in b.to_pylist()]
+        assert [r["names"] for r in got] == ([want] if want else [])
+
+
 BODY = "export function go(a: number) {\n  const b = calc(a, 12);\n  if (b > 3) { return stop; }\n  log(\"one\", b);\n  other.push(b);\n}\n"
 
 
