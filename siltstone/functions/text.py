@@ -376,12 +376,3 @@ def terms(text: Column) -> Column:
     """Lower-case runs of letters and digits without stop words, in order."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return F.filter(words, lambda w: ~w.isin(STOP_WORDS))
-
-
-def stem(word: Column) -> Column:
-    """Light English suffix stripping: plural, -ing, -ed."""
-    w = F.regexp_replace(word, r"(?<=[a-z]{3})(ies)$", "y")
-    w = F.regexp_replace(w, r"(?<=(?:sh|ch|ss|x|z))es$", "")
-    w = F.regexp_replace(w, r"(?<=[a-rt-z][a-rt-z])s$", "")
-    w = F.regexp_replace(w, r"(?<=[a-z]{3})(ing|ed)$", "")
-    return w

@@ -65,7 +65,7 @@ def code_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query("lexical_topk", f"WITH {LIVE}, {LEX} SELECT query_id, id, lexical, rank FROM lx_r WHERE rank <= 100")
 def lexical_topk(spark: SparkSession, sf: str) -> DataFrame:
     c = _corpus(spark, sf)
-    return search.matching_chunks(search.searchable(c), _queries(c).select("query_id", "text"))
+    return search.matching_chunks(search.searchable(c), _queries(c).select("query_id", "text"), stemmed=False)  # as the SQL
 
 
 def _fused_sql(key: str, lists: str) -> str:
@@ -83,7 +83,7 @@ def _three(spark: SparkSession, sf: str) -> list[DataFrame]:
     return [
         search.nearest_chunks(chunks, q.select("query_id", "vector"), DIM),
         search.nearest_chunks(chunks, q.select("query_id", F.col("code_vector").alias("vector")), DIM, "code_embedding"),
-        search.matching_chunks(chunks, q.select("query_id", "text")),
+        search.matching_chunks(chunks, q.select("query_id", "text"), stemmed=False),  # as the SQL
     ]
 
 

@@ -184,3 +184,13 @@ def test_license_texts():
     d = TextDetector({"A": "permission is granted to any person who obtains a copy of this work " * 3, "B": "you may do as you please with this thing and its parts " * 3})
     assert d("Permission is granted, to any person who obtains a copy of this work. " * 3) == "A"
     assert d("something else entirely that nobody knows") is None and d("") is None
+
+
+STEMS = "consigned consign consisting consist consolation consol knightly knight knots knot generously generous communication communic happy happi relational relat conditional condit dying die hopping hop hoping hope running run migrations migrat cached cach cache cach agreed agre feed feed ponies poni ties tie gas gas kiwis kiwi national nation sensational sensat formality formal replacement replac adoption adopt controlling control roll roll say say cry cri by by news news proceed proceed skies sky youth youth boys boy sha256 sha256".split()
+
+
+@pytest.mark.parametrize("word,want", list(zip(STEMS[::2], STEMS[1::2], strict=True)))
+def test_published_stems(word, want):
+    from siltstone.functions.stems import stem
+
+    assert stem(word) == want

@@ -40,6 +40,15 @@ def test_requests():
     assert search.parse_words('fast "hash join" or merge -slow') == ([["fast"], ["hash"], ["join", "merge"]], ["hash join"], ["slow"])
 
 
+def test_words_meet_by_their_stems(spark):
+    chunks = spark.createDataFrame([("a", "All migrations were cached."), ("b", "One migration, one cache"), ("c", "Nothing of it")], "id string, content string")
+    q = spark.createDataFrame([(1, "migration cache"), (2, "migrating caches"), (3, "things")], "query_id int, text string")
+    assert {(r.query_id, r.id) for r in search.matching_chunks(chunks, q).collect()} == {(1, "a"), (1, "b"), (2, "a"), (2, "b")}
+    assert {(r.query_id, r.id) for r in search.matching_chunks(chunks, q, stemmed=False).collect()} == {(1, "b")}
+    asked = [search.Query("migration cache"), search.Query('"migration were caching"'), search.Query("migration -cached"), search.Query("one or migrate")]
+    assert {(r.query_index, r.id) for r in search.lexical_list(chunks, asked).collect()} == {(0, "a"), (0, "b"), (1, "a"), (3, "a"), (3, "b")}
+
+
 LISTS = st.lists(st.lists(st.integers(0, 30), unique=True, max_size=12), min_size=1, max_size=4)
 
 
