@@ -9,7 +9,8 @@ an unbounded group; a shard leaves at most about one container part-filled. Insi
   the fillings of its container that no other filling dominates, best first, and cut a branch once
   its waste exceeds what a packing with one container less could afford.
 
-`search_nodes` bounds the search, not the items: whatever the search finds, all items are packed.
+`search_nodes`, `most` and `keep` bound the search, not the items: whatever it finds, all items are
+packed.
 
 Columns out: container_id, doc_id, part, first_token, n_tokens. Defined cases: null and empty texts
 have 0 tokens and one row in a container; repeated rows of an id count once; extra columns are
@@ -30,6 +31,8 @@ from siltstone.llm.encode import RANK_FILE, token_counts
 from siltstone.session import ship, staged, table
 
 CAPACITY = 2048
+# Bounds of the search, all parameters: nodes a shard, steps of a walk for fillings, fillings kept.
+NODES, MOST, KEEP = 20_000, 400, 24
 
 
 def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -110,16 +113,16 @@ class Stock:
         return self.mask & ((2 << most) - 1) & ~1 if most > 0 else 0
 
 
-def fillings(stock: Stock, room: int, waste: int, most: int = 400, keep: int = 8) -> list[tuple[int, ...]]:
+def fillings(stock: Stock, room: int, waste: int, most: int = MOST, keep: int = KEEP) -> list[tuple[int, ...]]:
     """Undominated sets of sizes that leave at most `waste` of `room`, least waste first. The walk
-    takes large sizes first, `most` steps at most, and ends early once it has enough full ones."""
+    takes large sizes first, `most` steps at most; `keep` sets at most are given."""
     found: list[tuple[int, ...]] = [()] if room <= waste else []
-    budget, full = most, 0
+    budget = most
 
     def grow(top: int, left: int, chosen: tuple[int, ...]) -> None:
-        nonlocal budget, full
+        nonlocal budget
         bits = stock.below(min(top, left))
-        while bits and budget > 0 and full < keep:
+        while bits and budget > 0:
             v = bits.bit_length() - 1
             bits &= (1 << v) - 1
             if chosen.count(v) >= stock.n[v]:
@@ -128,14 +131,13 @@ def fillings(stock: Stock, room: int, waste: int, most: int = 400, keep: int = 8
             budget -= 1
             if left - v <= waste:
                 found.append(now)
-                full += left == v
             if left > v:
                 grow(v, left - v, now)
 
     grow(room, room, ())
     found.sort(key=lambda f: (-sum(f), len(f)))
     out: list[tuple[int, ...]] = []
-    for f in found[: 4 * keep]:
+    for f in found:
         if len(out) >= keep:
             break
         if not any(_dominates(g, f) for g in out if len(g) <= 8 and len(f) <= 8):
@@ -143,27 +145,29 @@ def fillings(stock: Stock, room: int, waste: int, most: int = 400, keep: int = 8
     return out
 
 
-def bin_completion(sizes: list[int], capacity: int, search_nodes: int = 5_000) -> list[list[int]]:
-    """A packing of positive sizes; optimal where the search ends before its bound."""
+def bin_completion(sizes: list[int], capacity: int, search_nodes: int = NODES, most: int = MOST, keep: int = KEEP) -> list[list[int]]:
+    """A packing of positive sizes, never worse than best fit. It is known to be optimal where its
+    number is that of `lower_bound`; else the search may have missed a better one, for it ends after
+    `search_nodes` and looks at no more than `keep` fillings of a container, found in `most` steps."""
     incumbent = best_fit_decreasing(sizes, capacity)
     bound, total = lower_bound(sizes, capacity), sum(sizes)
     nodes = search_nodes
     while len(incumbent) > bound and nodes > 0:
-        better, nodes = _search(sizes, capacity, (len(incumbent) - 1) * capacity - total, nodes)
+        better, nodes = _search(sizes, capacity, (len(incumbent) - 1) * capacity - total, nodes, most, keep)
         if better is None:
             break
         incumbent = better
     return incumbent
 
 
-def _search(sizes: list[int], capacity: int, allowed: int, nodes: int) -> tuple[list[list[int]] | None, int]:
+def _search(sizes: list[int], capacity: int, allowed: int, nodes: int, most: int, keep: int) -> tuple[list[list[int]] | None, int]:
     """(a packing that wastes at most `allowed`, or None; nodes left), depth first."""
     stock, used = Stock(sizes), 0
     stack: list[list] = []  # [fillings left, container placed, waste before it]
     while stock.mask:
         largest = stock.mask.bit_length() - 1
         stock.take((largest,))
-        options = fillings(stock, capacity - largest, allowed - used)
+        options = fillings(stock, capacity - largest, allowed - used, most, keep)
         stock.put((largest,))
         stack.append([[(largest, *f) for f in reversed(options)], None, used])
         while True:  # the next branch here, or back
@@ -185,9 +189,9 @@ def _search(sizes: list[int], capacity: int, allowed: int, nodes: int) -> tuple[
     return [list(placed) for _, placed, _ in stack], nodes
 
 
-def pack_shard(ids: list[tuple], sizes: list[int], capacity: int, search_nodes: int) -> list[tuple[int, tuple]]:
+def pack_shard(ids: list[tuple], sizes: list[int], capacity: int, search_nodes: int = NODES, most: int = MOST, keep: int = KEEP) -> list[tuple[int, tuple]]:
     """(container, item) of all items of a shard; empty items go into the first container."""
-    bins = bin_completion([s for s in sizes if s > 0], capacity, search_nodes)
+    bins = bin_completion([s for s in sizes if s > 0], capacity, search_nodes, most, keep)
     by_size: dict[int, list[tuple]] = {}
     for i, s in sorted(zip(ids, sizes, strict=True), reverse=True):
         by_size.setdefault(s, []).append(i)
@@ -195,17 +199,17 @@ def pack_shard(ids: list[tuple], sizes: list[int], capacity: int, search_nodes:
     return out + [(0, i) for i in by_size.get(0, [])]
 
 
-def _pack_group(capacity: int, search_nodes: int):
+def _pack_group(capacity: int, search_nodes: int, most: int, keep: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         items = [tuple(map(int, x)) for x in zip(pdf["doc_id"], pdf["part"], pdf["first_token"], pdf["n_tokens"], strict=True)]
-        packed = pack_shard(items, [x[3] for x in items], capacity, search_nodes)
+        packed = pack_shard(items, [x[3] for x in items], capacity, search_nodes, most, keep)
         base = int(pdf["shard"].iloc[0]) << 32
         return pd.DataFrame([(base + k, *x) for k, x in packed], columns=["container_id", "doc_id", "part", "first_token", "n_tokens"])
 
     return run
 
 
-def pack_documents(df: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY, rank_file: str = RANK_FILE, shard_items: int = 4096, search_nodes: int = 5_000) -> DataFrame:
+def pack_documents(df: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY, rank_file: str = RANK_FILE, shard_items: int = 4096, search_nodes: int = NODES, most: int = MOST, keep: int = KEEP) -> DataFrame:
     """(container_id, doc_id, part, first_token, n_tokens)."""
     ship(df.sparkSession)
     sized = token_counts(df, id_col, text_col, rank_file)
@@ -215,7 +219,7 @@ def pack_documents(df: DataFrame, id_col: str, text_col: str, capacity: int = CA
     items = staged(items.select("doc_id", "part", first.alias("first_token"), F.least(F.col("n_tokens") - first, F.lit(capacity)).cast("int").alias("n_tokens")), "items")
     shards = max(1, -(-items.count() // shard_items))
     sharded = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part"), F.lit(shards)))
-    return sharded.groupBy("shard").applyInPandas(_pack_group(capacity, search_nodes), "container_id bigint, doc_id bigint, part int, first_token bigint, n_tokens int")
+    return sharded.groupBy("shard").applyInPandas(_pack_group(capacity, search_nodes, most, keep), "container_id bigint, doc_id bigint, part int, first_token bigint, n_tokens int")
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

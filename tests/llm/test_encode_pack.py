@@ -84,6 +84,18 @@ def test_completion_beats_best_fit():
     assert len(P.bin_completion(sizes, 10)) == 3
 
 
+def test_completion_of_full_containers_of_three():
+    r = random.Random(29)
+    n, capacity, sizes = r.randint(10, 40), r.choice([200, 1000, 2048]), []
+    for _ in range(n):
+        a = r.randint(int(capacity * 0.38), int(capacity * 0.49))
+        b = r.randint(int((capacity - a) * 0.42), int((capacity - a) * 0.49))
+        sizes += [a, b, capacity - a - b]
+    assert len(P.best_fit_decreasing(sizes, capacity)) > n
+    assert len(P.bin_completion(sizes, capacity)) == n
+    assert len(P.bin_completion(sizes, capacity, most=1, keep=1)) > n  # the bounds are parameters
+
+
 def test_documents_come_out_in_full(spark):
     rows = [(k, "word " * (k * 7 % 900)) for k in range(300)] + [(1000, "tok " * 9000), (1001, None), (1002, ""), (5, "word " * 35)]
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id bigint, text string, part int")
