@@ -43,12 +43,19 @@ EXPANSION, LITERALS, UNIFORM, LEAST_LINES = 4.0, 0.62, 0.75, 4
 WIDTH, MISSING, LEAST_WHITE, AGREEMENT, CANONICAL_UNIFORM, CANONICAL_LINES = 100, 0.9, 20, 0.99, 0.6, 30
 HASH_COMMENTS = frozenset("py pyi rb sh bash pl r jl ex exs nim".split())
 
-_LEX = {
-    False: r"(?P<c>//[^\n]*|/\*.*?(?:\*/|\Z))",
-    True: r"(?P<c>\#[^\n]*)|(?P<d>(?:\"{3}.*?(?:\"{3}|\Z))|(?:'{3}.*?(?:'{3}|\Z)))",
+# Comments by extension; C's (//, /* */) where nothing is named. A shebang, an open tag of php and the
+# section tags of vue and svelte stand before the code like comments.
+_SLASHES, _BLOCK, _HASH, _DASHES = r"//[^\n]*", r"/\*.*?(?:\*/|\Z)", r"\#[^\n]*", r"--[^\n]*"
+_DOCSTRING = r"|(?P<d>(?:\"{3}.*?(?:\"{3}|\Z))|(?:'{3}.*?(?:'{3}|\Z)))"
+_C_STYLE = f"{_SLASHES}|{_BLOCK}"
+_TAGS = rf"<!--.*?(?:-->|\Z)|</?(?:script|style|template)\b[^>]*>|{_C_STYLE}"
+_COMMENTS = {e: _HASH for e in HASH_COMMENTS} | {
+    "jl": rf"\#=.*?(?:=\#|\Z)|{_HASH}", "nim": rf"\#\[.*?(?:\]\#|\Z)|{_HASH}", "rb": rf"^=begin\b.*?(?:^=end\b[^\n]*|\Z)|{_HASH}", "pl": rf"^=[a-z]\w*.*?(?:^=cut\b[^\n]*|\Z)|{_HASH}",
+    "sql": f"{_DASHES}|{_BLOCK}", "lua": rf"--\[(?P<eq>=*)\[.*?(?:\](?P=eq)\]|\Z)|{_DASHES}", "hs": rf"\{{-.*?(?:-\}}|\Z)|--+(?![!#$%&*+./<=>?@\\^|~:])[^\n]*", "erl": r"%[^\n]*", "ml": r"\(\*.*?(?:\*\)|\Z)",
+    "css": _BLOCK, "php": rf"<\?(?:php\b|=)|\?>|{_C_STYLE}|\#(?!\[)[^\n]*", "vue": _TAGS, "svelte": _TAGS,
 }
 _REST = r"|(?P<s>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<n>[-+]?\b\d[\w.]*)|(?P<w>[^\W\d]\w*)|(?P<p>[^\s\w])"
-LEXERS = {k: re.compile(v + _REST, re.S) for k, v in _LEX.items()}
+LEXERS = {e: re.compile(rf"(?P<c>\A\#!(?!\[)[^\n]*|{_COMMENTS.get(e, _C_STYLE)})" + (_DOCSTRING if e in HASH_COMMENTS else "") + _REST, re.S | re.M) for e in CODE_EXTENSIONS}
 
 _GENERATED = re.compile(r"@generated\b|<auto-?generated|\bauto-?generated (?:by|from)\b|\bcode generated by\b|\bmachine-made output\b|\bgenerated file\b.*\bdo not (?:modify|edit)\b|\bautomatically (?:created|generated)\b|\bwas (?:written|generated) by\b.*\b(?:change|edit)s? will be (?:lost|overwritten)\b|\bdo not edit\b", re.I)
 _NOT_GENERATED = re.compile(r"no longer a generated|first generated by|is not\b|checks? that", re.I)
@@ -71,14 +78,14 @@ def _lex(text: str, extension: str) -> tuple[list[list], Counter[str], list[str]
     head: list[str] = []
     at = feeds = 0
     blank = commented = False
-    for m in LEXERS[extension in HASH_COMMENTS].finditer(text):
+    for m in LEXERS[extension].finditer(text):
         kind, got, start = m.lastgroup, m.group(), m.start()
         if at < start:
             blank = True
             feeds += text.count("\n", at, start)
         at = m.end()
         if kind == "c" or (kind == "d" and not chars):
-            if not chars and len(head) < 40:
+            if not chars:
                 head += got.splitlines()
             feeds += got.count("\n")
             commented = True

@@ -116,6 +116,21 @@ def test_verdicts_by_layout(text, extension, want):
     assert G.judge(text, extension) == want
 
 
+@pytest.mark.parametrize("head,extension", [
+    ("// Copyright line\n" * 60 + "// {}", "ts"), ("# Copyright line\n" * 60 + "# {}", "py"), ("#!/usr/bin/env node\n// {}", "js"), ("<?php\n// {}", "php"), ("<?php\n# {}", "php"), ("-- {}", "sql"), ("/* {} */", "sql"),
+    ("--[[\n{}\n]]", "lua"), ("-- {}", "lua"), ("{{- {} -}}", "hs"), ("-- {}", "hs"), ("%% {}", "erl"), ("(* {} *)", "ml"), ("<!-- {} -->", "vue"), ("<script lang='ts'>\n// {}", "svelte"), ("#= {} =#", "jl"), ("#[ {} ]#", "nim"), ("=begin\n{}\n=end", "rb"), ("/* {} */", "css"),
+])
+def test_markers_in_the_comments_before_the_code(head, extension):
+    assert G.judge(head.format("Code generated by maker. DO NOT EDIT.") + "\n" + BODY, extension) == "generated"
+    assert G.judge(head.format("Vendored from upstream thing 2.1.0.") + "\n" + BODY, extension) == "third_party"
+    assert G.judge(head.format("Kept by hand.") + "\n" + BODY, extension) is None
+    assert G.judge("go(1)\n" + head.format("Code generated by maker. DO NOT EDIT.") + "\n" + BODY, extension) is None
+
+
+def test_an_attribute_is_no_shebang():
+    assert G.layout("#![allow(dead_code)]\ngo();\n", "rs")["lines"] == 2
+
+
 @pytest.mark.parametrize("text,extension", [
     ("fn go(a: u32) -> u32 {\n    let b = a + 1;\n    if b == 3 {\n        return b;\n    } else {\n        stop();\n    }\n    b - 1\n}\n", "rs"),
     ("call(\n  " + ",\n  ".join(f"other(name{k}, {k})" for k in range(12)) + "\n);\nnext(1, 2);\n", "ts"),
