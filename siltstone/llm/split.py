@@ -121,7 +121,7 @@ def cut_points(rank: np.ndarray, marks: np.ndarray, n: int, max_tokens: int, ove
             if ok.any():
                 best = int(near[ok][np.argmin(dist[ok])])
                 break
-        best = hi if best is None else best
+        best = want if best is None else best
         cuts.append((best, int(rank[best])))
         at, room = best, max_tokens - overlap
     cuts.append((n, END))

@@ -38,6 +38,17 @@ def test_an_edit_changes_only_pieces_around_it():
     assert len(a) > 12 and len(same) >= len(a) - 4
 
 
+def test_an_edit_of_a_text_without_spaces_changes_only_pieces_around_it():
+    r = random.Random(3)
+    chars = [chr(r.randrange(0x4E00, 0x9000)) for _ in range(40_000)]
+    a = S.split_text("".join(chars))
+    chars.insert(15_000, "漢")
+    b = S.split_text("".join(chars))
+    check("".join(chars), b, 1024, 64)
+    same = {p[2] for p in a} & {p[2] for p in b}
+    assert {p[8] for p in b} == {"forced"} and len(same) >= len(a) - 6
+
+
 def test_headings_and_symbols_are_preferred():
     body = "\n".join(f"word{k} and more of it here" for k in range(40))
     text = "\n".join(["# One", body, "# Two", body, "# Three", body, "# Four", body, "# Five", body])
