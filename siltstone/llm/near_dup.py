@@ -348,20 +348,21 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, width: int =
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
     """(node, root): connected components by alternating large-star and small-star steps, each
-    round a written table; root is the smallest node of the component."""
+    round a written table, until one changes no edge; root is the smallest node of the component.
+    No end within `max_rounds` is an error."""
     cur = staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc")
-    mark = None
     for _ in range(max_rounds):
         nb = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = nb.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = nb.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        cur = staged(small, "cc")
-        now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-        if now == mark:
+        last, cur = cur, staged(small, "cc")
+        # both hold distinct edges: as many of them, and none that the other lacks
+        if last.count() == cur.count() and last.join(cur, ["u", "v"], "left_anti").isEmpty():
             break
-        mark = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 

@@ -99,3 +99,10 @@ def test_prefixes_of_similar_sets_meet(n, t):
     assert 1 <= p <= n
     # a set of n elements that shares no prefix element shares at most n - p of them
     assert (n - p) < t * n
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a int, b int")
+    with pytest.raises(RuntimeError):
+        N.components(path, max_rounds=2)
+    assert {(r.node, r.root) for r in N.components(path).collect()} == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)}
