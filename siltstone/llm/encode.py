@@ -10,8 +10,8 @@ Pre-tokenisation works on whole batches as arrays, without regular expressions:
    space joins the run after it, an apostrophe that starts a run takes s, t, re, ve, m, ll or d.
 
 The slices feed a cache from slice to ids; a slice not seen before is merged pair by pair, lowest
-rank first. Offsets of the slices are kept, so `decode_ids` gives back every byte and `offsets`
-the byte where each id begins.
+rank first. `decode_ids` gives back every byte. Offsets of the slices aren't kept: `offsets` counts
+the byte where each id begins from the ids.
 
 Defined ids: a null text gives null ids or, with `null_as_empty` (the default), an empty list; an
 empty text gives an empty list. Repeated ids of documents give one row (equal rows count once; of
