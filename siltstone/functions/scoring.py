@@ -155,10 +155,14 @@ def l2_normalised(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
-def topic_of(vector: Column, centroids: Column, least: float) -> Column:
-    """Label of the nearest centroid (array of struct<label, centroid>), the later label on ties,
-    'other' below `least` or without a vector."""
-    best = F.array_max(F.transform(centroids, lambda c: F.struct(F.round(cosine(vector, c["centroid"]), 12).alias("s"), c["label"].alias("label"))))
+def nearest_centroid(vector: Column, centroids: Column) -> Column:
+    """struct<s, label> of the nearest of the centroids (array of struct<label, centroid>), the later
+    label on ties."""
+    return F.array_max(F.transform(centroids, lambda c: F.struct(F.round(cosine(vector, c["centroid"]), 12).alias("s"), c["label"].alias("label"))))
+
+
+def topic_label(best: Column, least: float) -> Column:
+    """The label of the nearest centroid, 'other' below `least` or without a vector."""
     return F.when(best["s"] >= least, best["label"]).otherwise(F.lit("other"))
 
 

@@ -43,19 +43,41 @@ def one_per_id(df: DataFrame) -> DataFrame:
     return df.dropDuplicates(["id"])
 
 
-def first_of_each_id(raw: DataFrame) -> DataFrame:
-    """The same for wide reads, without moving a row: ids alone are grouped to find the repeated
-    ones and the place (file and row) of their first; every other place of such an id is filtered
-    out while scanning. `raw` is a Parquet table."""
+def first_of_each_id(raw: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """The same for wide reads: ids alone are grouped to find the repeated ones and the places (file and
+    row) of all but their first, and those places are taken out. Up to `broadcast_ids` repeated ids the
+    places are broadcast and the scan filters them; more go through a filter by id first, so that only
+    rows of repeated ids move. The rows kept are the same at every size. `raw` is a Parquet table."""
     place = F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
     again = staged(raw.select("id", place.alias("p")).groupBy("id").agg(F.min("p").alias("keep"), F.count("*").alias("n")).where("n > 1").select("id", "keep"), "repeated")
     n = again.count()
     if n == 0:
         return raw
-    if n > BROADCAST_IDS:
-        return one_per_id(raw)
-    rows = raw.select("*", place.alias("_p")).join(F.broadcast(again), "id", "left")
-    return rows.where(F.col("keep").isNull() | (F.col("keep") == F.col("_p"))).select(raw.columns)
+    rows = raw.select("*", place.alias("_p"))
+    if n <= broadcast_ids:
+        rows = rows.join(F.broadcast(again), "id", "left")
+        return rows.where(F.col("keep").isNull() | (F.col("keep") == F.col("_p"))).select(raw.columns)
+    marks = F.broadcast(id_marks(again))  # at most 2**MARK_BITS bits
+    told = rows.withColumn("_h", _mark(F.col("id"))).join(marks, F.bitmap_bucket_number("_h") == F.col("_bucket"), "left")
+    at = F.bitmap_bit_position("_h")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.get(F.transform(F.array(*map(F.lit, range(8))), lambda k: byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) != 0), (at % 8).cast("int")), F.lit(False))
+    told = told.select(*raw.columns, "_p", maybe.alias("_maybe"))
+    few = told.where("_maybe").join(again, "id", "left").where(F.col("keep").isNull() | (F.col("keep") == F.col("_p")))
+    return told.where("NOT _maybe").select(raw.columns).unionByName(few.select(raw.columns))
+
+
+MARK_BITS = 26  # 8 MB of marks: at 6.7 million repeated ids a tenth of the other rows moves with them
+
+
+def _mark(id_: Column) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(1 << MARK_BITS)) + 1
+
+
+def id_marks(ids: DataFrame) -> DataFrame:
+    """(_bucket, _bits): a bitmap of the hashes of the ids, in rows of 4 KB, 2**MARK_BITS bits at most."""
+    h = ids.select(_mark(F.col("id")).alias("_h"))
+    return h.groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
 
 
 @dataclass(frozen=True)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.scoring import l2_normalised, topic_of
+from siltstone.functions.scoring import l2_normalised, nearest_centroid, topic_label
 from siltstone.model import ATTRIBUTIONS, Corpus
+from siltstone.session import ship, staged
 
 TOP_TARGETS, TOP_CONSTRAINTS, TOP_VALUES = 6, 5, 10  # fixed values
 
@@ -111,18 +116,64 @@ def inventory(corpus: Corpus) -> DataFrame:
 
 
 def centroids(vectors: DataFrame, label: str = "label", vector: str = "embedding", normalise: bool = True) -> DataFrame:
-    """(label, centroid, n): mean vector of each label. The mean is one aggregate per element
-    position, so partial sums are combined before the shuffle, whatever the number of rows."""
-    flat = vectors.where(F.col(vector).isNotNull()).select(F.col(label).cast("string").alias("label"), F.posexplode(vector).alias("pos", "x"))
-    each = flat.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("k"))
+    """(label, centroid, n): mean vector of each label. Vectors are summed in Arrow batches, so that one
+    row a label and task is shuffled, whatever the number of vectors."""
+    ship(vectors.sparkSession)
+    src = vectors.where(F.col(vector).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list[np.ndarray]] = {}
+
+        def out() -> pa.RecordBatch:
+            flat = [(k[0], *v) for k, v in sums.items()]
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.list_(pa.float64())), pa.array([x[2] for x in flat], pa.list_(pa.int64()))], names=["label", "s", "k"])
+
+        for b in batches:
+            names = b.column(0).dictionary_encode()
+            of = names.indices.fill_null(len(names.dictionary)).to_numpy(zero_copy_only=False)
+            words = [*names.dictionary.to_pylist(), None]
+            sizes = np.diff(b.column(1).offsets.to_numpy())
+            flat = b.column(1).flatten()
+            there = np.asarray(flat.is_valid())
+            x = np.where(there, flat.fill_null(0.0).to_numpy(zero_copy_only=False), 0.0)
+            at = np.r_[0, np.cumsum(sizes)][:-1]
+            for d in np.unique(sizes):
+                rows = np.flatnonzero(sizes == d)
+                place = at[rows][:, None] + np.arange(d)[None, :]
+                for g in np.unique(of[rows]):
+                    mine = place[of[rows] == g]
+                    old = sums.setdefault((words[g], int(d)), [np.zeros(d), np.zeros(d, np.int64)])
+                    old[0] += x[mine].sum(0)
+                    old[1] += there[mine].sum(0)
+            if len(sums) > 10_000:
+                yield out()
+        if sums:
+            yield out()
+
+    part = src.mapInArrow(run, "label string, s array<double>, k array<bigint>").select("label", F.posexplode(F.arrays_zip("s", "k")).alias("pos", "z"))
+    each = part.groupBy("label", "pos").agg((F.sum("z.s") / F.sum("z.k")).alias("m"), F.sum("z.k").alias("k"))
     back = each.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centroid"), F.max("k").alias("n"))
     return back.withColumn("centroid", l2_normalised(F.col("centroid"))) if normalise else back
 
 
-def topics(rows: DataFrame, vector: str, centroid_rows: list, least: float) -> DataFrame:
-    """Rows with their topic; the centroids are a few labels, given as literals."""
-    cs = F.array(*[F.struct(F.lit(r.label).alias("label"), F.array(*[F.lit(float(x)) for x in r.centroid]).alias("centroid")) for r in centroid_rows])
-    return rows.withColumn("topic", F.coalesce(topic_of(F.col(vector), cs, least), F.lit("other")))
+LABEL_BLOCK = 1000  # labels whose centroids are literals of the plan at once
+
+
+def topics(rows: DataFrame, vector: str, centroid_rows: DataFrame, least: float) -> DataFrame:
+    """Rows with the label of their nearest centroid (label, centroid); every label counts, in blocks of
+    LABEL_BLOCK, which bound what is on the driver. 'other' below `least` or without a vector."""
+    cs = staged(centroid_rows.where("label IS NOT NULL").select("label", "centroid"), "centroids")
+    blocks = -(-cs.count() // LABEL_BLOCK)
+    nearest = []
+    for k in range(blocks):
+        mine = cs.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == k).orderBy("label").collect()
+        if mine:
+            nearest.append(nearest_centroid(F.col(vector), F.array(*[F.struct(F.lit(r.label).alias("label"), F.array(*[F.lit(float(x)) for x in r.centroid]).alias("centroid")) for r in mine])))
+    if not nearest:
+        return rows.withColumn("topic", F.lit("other"))
+    best = nearest[0] if len(nearest) == 1 else F.greatest(*nearest)
+    return rows.withColumn("topic", topic_label(best, least))
 
 
 def label_centroids(corpus: Corpus) -> DataFrame:

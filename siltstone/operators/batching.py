@@ -1,12 +1,14 @@
 """Cutting ordered items into consecutive groups under limits.
 
 The folds need the order and look at one running total, so they run on the array of one key
-(`fold_groups`, a JVM aggregate) or, where balance needs a second pass, in Arrow groups.
+(`fold_groups`, a JVM aggregate) or, where balance needs a second pass, on arrays in Arrow batches.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,37 +19,36 @@ from siltstone.session import ship
 CONTEXT_LIMIT = 25_600  # fixed value: tokens of a context group
 
 
+def cuts(sizes: Sequence[int], limit: int, shares: int | None = None) -> list[tuple[int, int]] | None:
+    """Consecutive groups under a limit, read off the running totals of the sizes: a group ends at the
+    last place within the limit, and an item above the limit is a group of its own. With `shares` there
+    are exactly so many groups, each ending as soon as it holds its equal share of what is left; None
+    where that can't be done."""
+    totals = list(accumulate(sizes, initial=0))
+    n, at, out = len(sizes), 0, []
+    while at < n and (shares is None or len(out) < shares):
+        before = totals[at]
+        end = bisect_right(totals, before + limit) - 1
+        if totals[end] == before:  # nothing of weight fits: the next item goes alone
+            end = min(end + 1, n)
+        open_ = 1 if shares is None else shares - len(out)
+        if open_ > 1 and totals[n] > before:
+            share = -(-(totals[n] - before) // open_)
+            end = min(end, bisect_left(totals, before + share, at + 1))
+        out.append((at, end))
+        at = end
+    return out if at == n and (shares is None or len(out) == shares) else None
+
+
 def max_fill(sizes: Sequence[int], limit: int) -> list[tuple[int, int]]:
     """Fewest groups: each takes what fits."""
-    groups: list[tuple[int, int]] = []
-    start = total = 0
-    for i, n in enumerate(sizes):
-        if total and total + n > limit:
-            groups.append((start, i))
-            start, total = i, 0
-        total += n
-    return [*groups, (start, len(sizes))] if sizes else []
-
-
-def even_fill(sizes: Sequence[int], limit: int, n: int) -> list[tuple[int, int]] | None:
-    """Exactly n groups near an equal share each, or None."""
-    left, at, groups = sum(sizes), 0, []
-    for g in range(n):
-        if at >= len(sizes):
-            return None
-        share, start, total = -(-left // (n - g)), at, 0
-        while at < len(sizes) and not (total and (total + sizes[at] > limit or (g < n - 1 and total >= share))):
-            total += sizes[at]
-            at += 1
-        left -= total
-        groups.append((start, at))
-    return groups if at == len(sizes) else None
+    return cuts(sizes, limit) or []
 
 
 def balanced(sizes: Sequence[int], limit: int = CONTEXT_LIMIT) -> list[tuple[int, int]]:
     """As few groups as possible, evenly filled where that can be done."""
     full = max_fill(sizes, limit)
-    return full if len(full) < 2 else even_fill(sizes, limit, len(full)) or full
+    return (cuts(sizes, limit, len(full)) if len(full) > 1 else None) or full
 
 
 def by_caps(items: Sequence[tuple[int, ...]], caps: tuple[int, ...]) -> list[tuple[int, int]]:
@@ -71,15 +72,21 @@ def halves(start: int, end: int, fits: Callable[[int, int], bool]) -> list[tuple
 
 
 def fold_groups(sizes: Column, limit: int) -> Column:
-    """Group number of each element of an ordered array, by max-fill."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("g"), F.array().cast("array<int>").alias("out"))
+    """Group number of each element of an ordered array, by max-fill. The fold keeps the first place of
+    each group only, so it is linear in the elements; the numbers are laid out at the end."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("i"), F.array(F.lit(0)).alias("firsts"))
 
     def step(s: Column, x: Column) -> Column:
         new = (s["total"] > 0) & (s["total"] + x > limit)
-        g = F.when(new, s["g"] + 1).otherwise(s["g"]).cast("int")
-        return F.struct(F.when(new, x.cast("bigint")).otherwise(s["total"] + x).cast("bigint").alias("total"), g.alias("g"), F.array_append(s["out"], g).alias("out"))
+        total = F.when(new, x.cast("bigint")).otherwise(s["total"] + x).cast("bigint")
+        return F.struct(total.alias("total"), (s["i"] + 1).alias("i"), F.when(new, F.array_append(s["firsts"], s["i"])).otherwise(s["firsts"]).alias("firsts"))
+
+    def laid_out(s: Column) -> Column:
+        ends = F.array_append(F.slice(s["firsts"], 2, F.size(s["firsts"])), s["i"])
+        runs = F.zip_with(s["firsts"], ends, lambda a, b: b - a)
+        return F.flatten(F.transform(runs, lambda n, g: F.array_repeat(g, n)))
 
-    return F.aggregate(sizes, zero, step, lambda s: s["out"])
+    return F.aggregate(sizes, zero, step, laid_out)
 
 
 def context_groups(chunks: DataFrame, limit: int = CONTEXT_LIMIT) -> DataFrame:

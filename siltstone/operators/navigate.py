@@ -30,14 +30,19 @@ def positions(chunks: DataFrame) -> DataFrame:
 
 
 def following(chunks: DataFrame, anchors: DataFrame, count: int, back: bool = False) -> DataFrame:
-    """(anchor_id, id, chunk_index, step): the next (or previous) visible chunks of each anchor id.
-    Anchors are a handful of a request and are looked up first, so the range join is per document."""
-    a = chunks.join(anchors.select(F.col("id").alias("id")), "id", "left_semi").select(F.col("id").alias("anchor_id"), "document_id", F.col("chunk_index").alias("at"))
-    side = F.col("chunk_index") < F.col("at") if back else F.col("chunk_index") > F.col("at")
-    rows = visible(chunks).select("id", "document_id", "chunk_index").join(a, "document_id").where(side)
-    order = [F.desc("chunk_index"), F.asc("id")] if back else [F.asc("chunk_index"), F.asc("id")]
-    w = Window.partitionBy("anchor_id").orderBy(*order)
-    return rows.withColumn("step", F.row_number().over(w)).where(F.col("step") <= count).select("anchor_id", "id", "chunk_index", "step")
+    """(anchor_id, id, chunk_index, step): the next (or previous) visible chunks of each anchor id. One
+    window counts the visible chunks up to each row, another numbers them, and the wanted numbers are
+    joined by equality: linear in the chunks of a document."""
+    key = F.desc("chunk_index") if back else F.asc("chunk_index")
+    rows = chunks.select("id", "document_id", "chunk_index", (F.col("status") != "embed_failed").alias("v"))
+    whole = anchors is chunks
+    if not whole:  # only documents that hold an anchor
+        rows = rows.join(rows.join(anchors.select("id"), "id", "left_semi").select("document_id").distinct(), "document_id", "left_semi")
+    a = rows.withColumn("seen", F.count_if("v").over(Window.partitionBy("document_id").orderBy(key)).cast("int"))  # rows of one index are peers
+    a = a if whole else a.join(anchors.select("id"), "id", "left_semi")
+    a = a.select(F.col("id").alias("anchor_id"), "document_id", F.posexplode(F.sequence(F.col("seen") + 1, F.col("seen") + count)).alias("k", "place"))
+    to = rows.where("v").withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy(key, F.asc("id"))))
+    return a.join(to, ["document_id", "place"]).select("anchor_id", "id", "chunk_index", (F.col("k") + 1).alias("step"))
 
 
 def neighbours(chunks: DataFrame, anchors: DataFrame, count: int) -> DataFrame:
@@ -94,18 +99,22 @@ def batch_get(spark: SparkSession, rows: DataFrame, ids: list[str], key: str = "
     return a.join(hit.distinct(), F.col("wanted") == F.col("k"), "left").select("position", "wanted", (F.col("k").isNotNull() & ~F.col("again")).alias("found"))
 
 
-def ancestors(spark: SparkSession, nodes: DataFrame, start: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(id, ancestor_id, depth), nearest first: each start node's chain of parents. One recursive
-    plan; the tree is read once a level."""
+def ancestors(spark: SparkSession, nodes: DataFrame, start: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """(id, ancestor_id, depth), nearest first: each start node's chain of parents, whatever its length.
+    One recursive plan; the tree is read once a level. A chain longer than `max_depth` (a cycle of
+    parents among them) is an error, it isn't cut."""
     nodes.select("id", "parent_node_id").distinct().createOrReplaceTempView("siltstone_edges")
     start.select("id").distinct().createOrReplaceTempView("siltstone_start")
-    return spark.sql(f"""
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max_depth + 2))
+    up = spark.sql(f"""
         WITH RECURSIVE up(id, ancestor_id, depth) AS (
             SELECT s.id, e.parent_node_id, 1 FROM siltstone_start s JOIN siltstone_edges e ON e.id = s.id WHERE e.parent_node_id IS NOT NULL
             UNION ALL
             SELECT u.id, e.parent_node_id, u.depth + 1 FROM up u JOIN siltstone_edges e ON e.id = u.ancestor_id
-            WHERE e.parent_node_id IS NOT NULL AND u.depth < {int(max_depth)})
+            WHERE e.parent_node_id IS NOT NULL AND u.depth <= {int(max_depth)})
         SELECT id, ancestor_id, depth FROM up""")
+    too_long = F.raise_error(F.concat(F.lit("chain of parents too long or in a cycle at "), F.col("id")))
+    return up.withColumn("depth", F.when(F.col("depth") > max_depth, too_long.cast("int")).otherwise(F.col("depth")))
 
 
 def ancestors_with_documents(corpus: Corpus, start: DataFrame) -> DataFrame:

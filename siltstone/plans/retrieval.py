@@ -368,7 +368,6 @@ def centroid_mean(spark: SparkSession, sf: str) -> DataFrame:
     b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label DESC) = 1) SELECT vec_id, CASE WHEN s >= 0.1 THEN label ELSE 'other' END AS topic FROM b""",
 )
 def topic_classify(spark: SparkSession, sf: str) -> DataFrame:
-    """Nearest label centroid of every vector (ten labels, whatever the number of vectors)."""
+    """Nearest label centroid of every vector."""
     e = _corpus(spark, sf).raw("embeddings")
-    rows = analytics.centroids(e, normalise=False).orderBy("label").limit(1000).collect()
-    return analytics.topics(e, "embedding", rows, 0.1).select("vec_id", "topic")
+    return analytics.topics(e, "embedding", analytics.centroids(e, normalise=False), 0.1).select("vec_id", "topic")

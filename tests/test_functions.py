@@ -29,6 +29,22 @@ V = st.tuples(st.integers(0, 3), st.integers(0, 3), st.integers(0, 3))
 R = st.tuples(st.sampled_from(["^", "~", ">=", "<=", "<", ">", "="]), V).map(lambda x: x[0] + ".".join(map(str, x[1])))
 
 
+@given(st.tuples(*[st.integers(0, 3)] * 3), st.tuples(*[st.integers(0, 3)] * 3), st.sampled_from(["", "=", ">", ">=", "<", "<=", "^", "~"]), st.sampled_from(["=", ">", ">=", "<", "<="]))
+def test_a_miss_is_the_smallest_gap(a, b, asked, declared):
+    """Over a grid of versions: what doesn't meet is as far apart as its two nearest members."""
+    a, b = ".".join(map(str, a)), ".".join(map(str, b))
+    want, has = versions.parse_request(asked + a), versions.parse_range(declared + b)
+    if want is None or has is None or has.empty:
+        return
+    got = versions.classify(asked + a, declared + b)
+    assert (got[0] == "satisfies") == want.meets(has)
+    grid = [(x, y, z) for x in range(6) for y in range(6) for z in range(6)]
+    if got[0] == "near_miss_patch":
+        mine, theirs = [v for v in grid if want.holds(v)], [v for v in grid if has.holds(v)]
+        same = [abs(x[2] - y[2]) for x in mine for y in theirs if x[:2] == y[:2]]
+        assert not same or min(same) == got[1]
+
+
 @given(R, R, V)
 def test_the_meet_of_two_ranges_holds_what_both_hold(a, b, v):
     x, y = versions.parse_range(a), versions.parse_range(b)

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from siltstone.model import first_of_each_id
 from siltstone.operators import analytics, batching, facets, ingest, lifecycle, navigate, overlap, quota, rerank, search
 from siltstone.sources import files, manifest, packages, sinks
 from siltstone.streaming import limits
@@ -82,9 +83,83 @@ def test_trim_rules():
     assert overlap.trim([(2, 4, "cd"), (0, 6, "abcdef")]) == ["cd", "ab\n…\nef"]
 
 
+def test_trim_of_a_table_equals_that_of_a_list(spark):
+    r = random.Random(5)
+    body = "aé€😀b\n" * 20
+    raw = body.encode()
+    rows = []
+    for doc in range(6):
+        for rank in range(12):
+            a = r.randrange(len(raw))
+            b = min(len(raw), a + r.randrange(30))
+            rows.append((f"d{doc}", rank, a, b, raw[a:b].decode("utf-8", "ignore") if r.random() < 0.8 else "other text"))
+    df = spark.createDataFrame([(0, *x) for x in rows] + [(0, "d0", 99, None, None, "kept")], "l int, document_id string, rank int, start_byte int, end_byte int, content string")
+    got = {(x.document_id, x.rank): x.content for x in overlap.trim_overlaps(df, ["l"]).collect()}
+    want = {("d0", 99): "kept"}
+    for doc in range(6):
+        mine = [x for x in rows if x[0] == f"d{doc}"]
+        want |= {(f"d{doc}", x[1]): c for x, c in zip(mine, overlap.trim([x[2:] for x in mine]), strict=True) if c is not None}
+    assert got == want
+
+
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 9), st.integers(1, 6)), max_size=14))
+def test_uncovered_rows(rows):
+    rows = sorted((r, a, a + n) for r, a, n in rows)
+    brute = [i for i, (r, a, b) in enumerate(rows) if not any(q < r and x <= a and y >= b for q, x, y in rows)]
+    assert overlap.uncovered(rows) == brute
+
+
+# --- reading around a chunk ---
+
+
+def test_following_counts_visible_chunks_only(spark):
+    rows = [("a", "d", 0, "ready"), ("b", "d", 1, "embed_failed"), ("c", "d", 1, "ready"), ("e", "d", 2, "embed_failed"), ("f", "d", 3, "deprecated"), ("g", "x", 0, "ready")]
+    c = spark.createDataFrame(rows, "id string, document_id string, chunk_index int, status string")
+    got = {(x.anchor_id, x.step): x.id for x in navigate.following(c, c, 2).collect()}
+    assert got == {("a", 1): "c", ("a", 2): "f", ("b", 1): "f", ("c", 1): "f", ("e", 1): "f"}
+    one = c.where("id = 'e'")
+    assert {(x.step, x.id) for x in navigate.following(c, one, 2, back=True).collect()} == {(1, "c"), (2, "a")}
+
+
+def test_ancestors_are_never_cut(spark):
+    chain = spark.createDataFrame([(f"n{k}", f"n{k - 1}" if k else None) for k in range(90)], "id string, parent_node_id string")
+    assert navigate.ancestors(spark, chain, chain.where("id = 'n89'")).count() == 89
+    ring = spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent_node_id string")
+    with pytest.raises(Exception, match="cycle"):
+        navigate.ancestors(spark, ring, ring, max_depth=20).collect()
+
+
+def test_rows_of_repeated_ids_are_the_same_at_every_size(spark, tmp_path):
+    spark.range(3000).selectExpr("concat('i', id % 2000) as id", "id as n", "repeat('x', 50) as wide").repartition(3).write.parquet(str(tmp_path / "t"))
+    raw = spark.read.parquet(str(tmp_path / "t"))
+    few, many = first_of_each_id(raw), first_of_each_id(raw, broadcast_ids=10)
+    a, b = sorted(map(tuple, few.collect())), sorted(map(tuple, many.collect()))
+    assert a == b and len(a) == 2000
+    assert "wide" not in next(x for x in many._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")[1:2])[:200]
+
+
 # --- batching ---
 
 
+@given(st.lists(st.integers(0, 9), max_size=12), st.integers(1, 12), st.integers(1, 6))
+def test_equal_shares(sizes, limit, n):
+    """Each group but the last ends as soon as it has its share, or before it would pass the limit."""
+    got = batching.cuts(sizes, limit, n)
+    full = batching.max_fill(sizes, limit)
+    assert [k for a, b in full for k in range(a, b)] == list(range(len(sizes)))
+    for a, b in full:
+        assert sum(sizes[a:b]) <= limit or sum(x > 0 for x in sizes[a:b]) == 1
+    if got is not None:
+        left = sum(sizes)
+        assert len(got) == n and [k for a, b in got for k in range(a, b)] == list(range(len(sizes)))
+        for g, (a, b) in enumerate(got):
+            held = sum(sizes[a:b])
+            assert held <= limit or sum(x > 0 for x in sizes[a:b]) == 1
+            if g < n - 1 and left:
+                assert sum(sizes[a : b - 1]) * (n - g) < left
+            left -= held
+
+
 @given(st.lists(st.integers(1, 100), max_size=60), st.integers(100, 200))
 def test_groups(sizes, limit):
     full, even = batching.max_fill(sizes, limit), batching.balanced(sizes, limit)
