@@ -30,10 +30,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _P4 = """
-    {f}_v AS (SELECT pair_id, CAST({f} AS DOUBLE[]) AS v FROM (SELECT DISTINCT ON (pair_id) * FROM query_pair) WHERE len({f}) = 64
+    {f}_v AS (SELECT pair_id, CAST(CAST({f} AS DOUBLE[]) AS DOUBLE[64]) AS v FROM (SELECT DISTINCT ON (pair_id) * FROM query_pair) WHERE len({f}) = 64
         AND NOT list_bool_or(list_transform({f}, lambda x: isnan(x))) AND list_bool_or(list_transform({f}, lambda x: x <> 0))),
-    {f}_n AS (SELECT a.pair_id AS a, b.pair_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM {f}_v a JOIN {f}_v b ON a.pair_id <> b.pair_id
-        QUALIFY row_number() OVER (PARTITION BY a.pair_id ORDER BY round(s, 12) DESC, b.pair_id) <= 10)"""
+    {f}_s AS (SELECT a.pair_id AS a, b.pair_id AS b, array_cosine_similarity(a.v, b.v) AS s FROM {f}_v a JOIN {f}_v b ON a.pair_id < b.pair_id WHERE s >= 0.9 - 1e-9),
+    {f}_n AS MATERIALIZED (SELECT a, b, s FROM (SELECT a, b, s FROM {f}_s UNION ALL SELECT b, a, s FROM {f}_s)
+        QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(s, 12) DESC, b) <= 10)"""
 _P4_PAIRS = "SELECT '{f}' AS field, x.a AS pair_id_a, x.b AS pair_id_b FROM {f}_n x JOIN {f}_n y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b AND x.s >= 0.9 - 1e-9"
 
 #: By brute force: all shared shingles, all pairs of vectors; token counts and white-space stretches

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from siltstone.llm import knn as K
 
@@ -76,3 +77,31 @@ def test_exact_neighbours(spark):
     for r in K.exact_neighbours(frame(spark, ids, v), "id", "vec", dim=8, k=5).collect():
         got.setdefault(r.id, set()).add(r.neighbour_id)
     assert got == {i: set(want[i]) for i in ids if i % 20 == 0}
+
+
+def test_lists_keep_their_length_and_grow_in_number(spark):
+    rng = np.random.default_rng(3)
+    lists = {}
+    for n in (400, 1600, 6400):
+        v = rng.normal(size=(n, 8)).astype(np.float32)
+        points = frame(spark, range(n), v).select(F.lit(0).alias("field"), F.col("id").alias("vid"), F.col("vec"))
+        rows = points.rdd.map(lambda r: (0, r.vid, bytearray(np.asarray(r.vec, np.float32).tobytes()))).toDF("field int, vid bigint, vec binary")
+        placed = K.place_in_lists(rows, 8, 16, 20, 8, 1024, 0.25, 16, 0.04, 4, 0.25, 4, 64)
+        per = placed.where("side % 2 = 1").groupBy("list").count().agg(F.count("*").alias("n"), F.max("count").alias("longest")).first()
+        lists[n] = per.n
+        assert per.longest <= 200
+        assert placed.where("side % 2 = 1").select("vid").distinct().count() == n
+    assert lists[1600] >= 2.5 * lists[400] and lists[6400] >= 2.5 * lists[1600]
+
+
+def test_fields_do_not_mix(spark):
+    rng = np.random.default_rng(4)
+    a, b = (rng.normal(size=(120, 8)).astype(np.float32) for _ in range(2))
+    ids = np.arange(1, 121)
+    fields = {name: frame(spark, ids, v).select("id", "vec") for name, v in (("a", a), ("b", b))}
+    got = {}
+    for r in K.nearest_in_fields(fields, dim=8, k=4).collect():
+        got.setdefault(r.field, {}).setdefault(r.id, []).append((r.rank, r.neighbour_id))
+    for name, v in (("a", a), ("b", b)):
+        want = exact(ids, v.astype(float), 4)
+        assert {i: [n for _, n in sorted(x)] for i, x in got[name].items()} == want
