@@ -57,17 +57,12 @@ def first_of_each_id(raw: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> Data
     if n <= broadcast_ids:
         rows = rows.join(F.broadcast(again), "id", "left")
         return rows.where(F.col("keep").isNull() | (F.col("keep") == F.col("_p"))).select(raw.columns)
-    marks = F.broadcast(id_marks(again))  # at most 2**MARK_BITS bits
-    told = rows.withColumn("_h", _mark(F.col("id"))).join(marks, F.bitmap_bucket_number("_h") == F.col("_bucket"), "left")
-    at = F.bitmap_bit_position("_h")
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    maybe = F.coalesce(F.get(F.transform(F.array(*map(F.lit, range(8))), lambda k: byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) != 0), (at % 8).cast("int")), F.lit(False))
-    told = told.select(*raw.columns, "_p", maybe.alias("_maybe"))
+    told = marked(rows, F.col("id"), again.select("id"))
     few = told.where("_maybe").join(again, "id", "left").where(F.col("keep").isNull() | (F.col("keep") == F.col("_p")))
     return told.where("NOT _maybe").select(raw.columns).unionByName(few.select(raw.columns))
 
 
-MARK_BITS = 26  # 8 MB of marks: at 6.7 million repeated ids a tenth of the other rows moves with them
+MARK_BITS = 26  # 8 MB of marks: at 6.7 million ids a tenth of the other rows is taken for them
 
 
 def _mark(id_: Column) -> Column:
@@ -75,11 +70,22 @@ def _mark(id_: Column) -> Column:
 
 
 def id_marks(ids: DataFrame) -> DataFrame:
-    """(_bucket, _bits): a bitmap of the hashes of the ids, in rows of 4 KB, 2**MARK_BITS bits at most."""
-    h = ids.select(_mark(F.col("id")).alias("_h"))
+    """(_bucket, _bits): a bitmap of the hashes of the ids (the only column), in rows of 4 KB, 2**MARK_BITS
+    bits at most."""
+    h = ids.select(_mark(F.col(ids.columns[0])).alias("_h"))
     return h.groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
 
 
+def marked(rows: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
+    """`rows` with `_maybe`: true for all whose key is among the ids and a few more. The marks are
+    broadcast, whose size is bounded whatever the number of ids; nothing is shuffled."""
+    told = rows.withColumn("_h", _mark(key)).join(F.broadcast(id_marks(ids)), F.bitmap_bucket_number("_h") == F.col("_bucket"), "left")
+    at = F.bitmap_bit_position("_h")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1
+    return told.select(*rows.columns, F.coalesce(bit, F.lit(False)).alias("_maybe"))
+
+
 @dataclass(frozen=True)
 class Corpus:
     """The tables of one data directory. Properties are plans; only the wide ones look at ids first."""
