@@ -5,17 +5,21 @@ least `threshold`. The join loses no pair and stays away from comparing everythi
 
 1. Each text becomes a set of 64-bit shingle hashes. Texts with equal sets share a set id, so
    copies cost one set however many there are.
-2. A table of 2**slots_log2 saturating counters (16 MB, whatever the input) estimates in how many
-   sets a shingle occurs; it fixes one global order, rare shingles first.
+2. A table of 2**slots_log2 counters of one byte (16 MB, whatever the input) estimates in how many
+   sets a shingle occurs; it fixes one global order, rare shingles first. Counters are exact up to 15
+   and then logarithmic up to 1e12, so they don't saturate.
 3. Prefix filter: two sets that reach the threshold share a shingle among the first
    n - ceil(threshold * n) + 1 of that order. Only prefix shingles that occur in two sets or more
    are sent, each with the set's population (its size) and a parity bitmap of 256 bits.
-4. Rows meet by shingle, sorted by population, and are compared in tiles with exclusive-or and bit
+4. Rows meet by shingle. A shingle with more than `hot` rows, by its counter, is spread before the
+   shuffle: rows belong to groups by a hash of their set, and every pair of groups is a bucket of its
+   own. No task gets more than about 2 * `hot` rows of one shingle.
+5. Buckets, sorted by population, are compared in tiles of `TILE` rows with exclusive-or and bit
    counts. For sets A, B at the threshold |A xor B| <= (1-t)/(1+t) * (|A|+|B|), and folding into a
-   parity bitmap never raises the count, so the radius discards no true pair. Rows and tile pairs
-   whose populations differ beyond the radius are skipped. Runs of one shingle above `tile_limit`
-   rows are cut into tiles and compared tile pair by tile pair in a second, spread-out step.
-5. The surviving pairs are checked with the exact sets.
+   parity bitmap never raises the count, so the radius discards no true pair. Tile pairs whose
+   populations differ beyond the radius are skipped.
+6. The surviving pairs are checked with the exact sets, which are built again for texts in such pairs
+   alone; the scan tells them by marks of their ids (8 MB), so no text is shuffled.
 
 Defined cases: null texts are in no pair. Texts with fewer words than a shingle have no shingles;
 they pair only with equal texts. Repeated rows of one id count once (if an id comes with different
@@ -35,11 +39,21 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.model import marked
 from siltstone.session import ship, staged, table
 
 WORD = re.compile(r"[^\W_]+")
 BLOCK = 1 << 18
 SKETCH_BYTES = 32
+TILE = 32  # rows of a tile
+COPY_BLOCK = 4096  # copies of one text that a task pairs with as many others
+#: Values of the counters' codes: exact, then in steps of an eighth.
+CODES = np.r_[np.arange(16.0), 15.0 * 1.125 ** np.arange(1, 241)]
+
+
+def encoded(counts: np.ndarray) -> np.ndarray:
+    """Codes of counts; never below the count in what matters here (0, 1, or two and more)."""
+    return np.searchsorted(CODES, np.minimum(counts, CODES[-1]) * (1 - 1e-12)).astype(np.uint8)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -89,7 +103,7 @@ def _slots(s: np.ndarray, slots_log2: int) -> np.ndarray:
 
 def _count_pass(width: int, slots_log2: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << slots_log2, np.uint8)
+        counters = np.zeros(1 << slots_log2, np.uint32)
         seen: set[bytes] = set()
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -101,14 +115,13 @@ def _count_pass(width: int, slots_log2: int):
                 o_id.append(i), o_sid.append(sid), o_n.append(len(s))
                 if sid not in seen:
                     seen.add(sid)
-                    at = _slots(s, slots_log2)
-                    counters[at] += counters[at] < 255
+                    counters[_slots(s, slots_log2)] += 1
             k = len(o_id)
             yield pa.RecordBatch.from_arrays([pa.array(o_id, pa.string()), pa.array(o_sid, pa.binary()), pa.array(o_n, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["id", "sid", "n", "blk", "cnt"])
         if seen:
             pack = zstandard.ZstdCompressor(level=1).compress
             blocks = [(k, counters[k * BLOCK : (k + 1) * BLOCK]) for k in range(max(1, (1 << slots_log2) // BLOCK))]
-            blocks = [(k, pack(c.tobytes())) for k, c in blocks if c.any()]
+            blocks = [(k, pack(encoded(c).tobytes())) for k, c in blocks if c.any()]
             m = len(blocks)
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.string()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.array([k for k, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())], names=["id", "sid", "n", "blk", "cnt"])
 
@@ -118,18 +131,32 @@ def _count_pass(width: int, slots_log2: int):
 def _merge_counters(pdf):
     import pandas as pd
 
-    un, total = zstandard.ZstdDecompressor(), None
+    un, total = zstandard.ZstdDecompressor(), 0.0
     for c in pdf["cnt"]:
-        a = np.frombuffer(un.decompress(c), np.uint8).astype(np.uint16)
-        total = a if total is None else np.minimum(total + a, 255)
-    return pd.DataFrame({"blk": [pdf["blk"].iloc[0]], "cnt": [zstandard.ZstdCompressor(level=1).compress(total.astype(np.uint8).tobytes())]})
+        total = total + CODES[np.frombuffer(un.decompress(c), np.uint8)]
+    return pd.DataFrame({"blk": [pdf["blk"].iloc[0]], "cnt": [zstandard.ZstdCompressor(level=1).compress(encoded(total).tobytes())]})
 
 
 def prefix_length(n: int, threshold: float) -> int:
     return n - math.ceil(threshold * n - 1e-9) + 1
 
 
-def _prefix_pass(width: int, threshold: float, slots_log2: int, counters_b):
+def _spread(token: np.ndarray, own: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, side) of rows of hot shingles: group g of G meets every group. In bucket (i, j) rows
+    of group i are side 1 and those of group j side 2; the bucket (i, i) is of side 0."""
+    row = np.repeat(np.arange(len(token)), groups)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(groups) - groups, groups)
+    mine = own[row]
+    i, j = np.minimum(mine, other), np.maximum(mine, other)
+    side = np.where(i == j, 0, np.where(mine == i, 1, 2)).astype(np.int8)
+    name = _mix(token[row] + (i.astype(np.uint64) << np.uint64(32)) + j.astype(np.uint64) + np.uint64(1))
+    return row, np.where(groups[row] > 1, name, token[row]), side
+
+
+_ROWS = "bucket long, n int, sid binary, sk binary, side byte"
+
+
+def _prefix_pass(width: int, threshold: float, slots_log2: int, hot: int, counters_b):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         un, counters = zstandard.ZstdDecompressor(), np.zeros(1 << slots_log2, np.uint8)
         for k, c in counters_b.value:
@@ -138,7 +165,7 @@ def _prefix_pass(width: int, threshold: float, slots_log2: int, counters_b):
         seen: set[bytes] = set()
         for b in batches:
             texts = b.column(1).to_pylist()
-            tok, sids, ns, sks = [], [], [], []
+            tok, codes, sids, ns, sks, many = [], [], [], [], [], []
             for i, t, s in zip(b.column(0).to_pylist(), texts, shingle_sets(texts, width), strict=True):
                 if s is None or i is None or not len(s):
                     continue
@@ -151,12 +178,15 @@ def _prefix_pass(width: int, threshold: float, slots_log2: int, counters_b):
                 first = np.argsort(c, kind="stable")[:p]  # s is sorted, so ties are in hash order
                 first = first[c[first] >= 2]
                 if len(first):
-                    tok.append(s[first].view(np.int64))
-                    sids += [sid] * len(first)
-                    ns += [len(s)] * len(first)
-                    sks += [sketch(s)] * len(first)
+                    tok.append(s[first]), codes.append(c[first])
+                    sids.append(sid), ns.append(len(s)), sks.append(sketch(s)), many.append(len(first))
             if tok:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok)), pa.array(ns, pa.int32()), pa.array(sids, pa.binary()), pa.array(sks, pa.binary())], names=["token", "n", "sid", "sk"])
+                token, of = np.concatenate(tok), np.repeat(np.arange(len(sids)), many)
+                groups = np.ceil(CODES[np.concatenate(codes)] / hot).astype(np.int64)
+                own = np.frombuffer(b"".join(x[:8] for x in sids), np.uint64)[of] % groups.astype(np.uint64)
+                row, bucket, side = _spread(token, own.astype(np.int64), groups)
+                at = pa.array(of[row])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(ns, pa.int32()).take(at), pa.array(sids, pa.binary()).take(at), pa.array(sks, pa.binary()).take(at), pa.array(side)], names=["bucket", "n", "sid", "sk", "side"])
 
     return run
 
@@ -171,141 +201,89 @@ def radius(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
     return np.floor((1 - threshold) / (1 + threshold) * (na + nb) + 1e-9)
 
 
-def tile_pairs(n: np.ndarray, sk: np.ndarray, m: np.ndarray, sk2: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of two tiles within the radius, by exclusive-or and bit counts."""
-    oi, oj = [], []
-    for i0 in range(0, len(n), 256):
-        a, na = sk[i0 : i0 + 256], n[i0 : i0 + 256].astype(np.float64)
-        for j0 in range(0, len(m), 256):
-            nb = m[j0 : j0 + 256].astype(np.float64)
-            if nb.min() * threshold > na.max() + 1e-9 or na.min() * threshold > nb.max() + 1e-9:
-                continue  # the populations differ beyond the radius
-            h = np.bitwise_count(a[:, None, :] ^ sk2[None, j0 : j0 + 256, :]).sum(axis=2, dtype=np.int32)
-            ok = (h <= radius(na[:, None], nb[None, :], threshold)) & (na[:, None] >= threshold * nb[None, :] - 1e-9) & (nb[None, :] >= threshold * na[:, None] - 1e-9)
-            i, j = np.nonzero(ok)
-            oi.append(i + i0), oj.append(j + j0)
-    z = np.empty(0, np.int64)
-    return (np.concatenate(oi), np.concatenate(oj)) if oi else (z, z)
-
-
-def run_pairs(tok: np.ndarray, n: np.ndarray, sk: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The same inside runs of equal tokens, rows sorted by (token, n): row i against row i + lag
-    for all runs at once; a row leaves when its run or the radius of populations ends."""
-    oi, oj, lag = [], [], 1
-    act = np.arange(len(tok) - 1)
-    nf = n.astype(np.float64)
+def tile_pairs(bucket: np.ndarray, n: np.ndarray, sk: np.ndarray, side: np.ndarray, threshold: float, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of the rows of one bucket within the radius, rows sorted by (bucket, n). Tiles of
+    `tile` rows are compared with themselves and with those after them, all tiles at once, as long as a
+    bucket reaches from the one into the other and their populations can meet."""
+    m = -(-len(bucket) // tile)
+    if not m:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    pad = m * tile - len(bucket)
+    there = np.r_[np.ones(len(bucket), bool), np.zeros(pad, bool)].reshape(m, tile)
+    bk, nf, sd = np.r_[bucket, np.full(pad, bucket[-1])].reshape(m, tile), np.r_[n, np.full(pad, n[-1])].astype(np.float64).reshape(m, tile), np.r_[side, np.zeros(pad, side.dtype)].reshape(m, tile)
+    bits = np.concatenate([sk, np.zeros((pad, sk.shape[1]), sk.dtype)]).reshape(m, tile, -1)
+    # the largest population that the last bucket of a tile has there, and the least that the first one has
+    high, low = nf[:, -1], nf[:, 0]
+    oi, oj, lag = [], [], 0
+    act = np.arange(m)
     while len(act):
-        act = act[act + lag < len(tok)]
-        o = act + lag
-        go = (tok[act] == tok[o]) & (nf[act] >= threshold * nf[o] - 1e-9)
-        act, o = act[go], o[go]
-        if len(act):
-            ok = np.bitwise_count(sk[act] ^ sk[o]).sum(axis=1, dtype=np.int32) <= radius(nf[act], nf[o], threshold)
-            oi.append(act[ok]), oj.append(o[ok])
+        for at in range(0, len(act), 128):
+            x = act[at : at + 128]
+            y = x + lag
+            ok = (bk[x][:, :, None] == bk[y][:, None, :]) & there[x][:, :, None] & there[y][:, None, :]
+            a, b = nf[x][:, :, None], nf[y][:, None, :]
+            ok &= (a >= threshold * b - 1e-9) & (b >= threshold * a - 1e-9)
+            sx, sy = sd[x][:, :, None], sd[y][:, None, :]
+            ok &= (sx == 0) | (sx != sy)
+            if not lag:
+                ok &= np.triu(np.ones((tile, tile), bool), 1)
+            h = np.bitwise_count(bits[x][:, :, None, :] ^ bits[y][:, None, :, :]).sum(axis=3, dtype=np.int16)
+            t, i, j = np.nonzero(ok & (h <= radius(a, b, threshold)))
+            oi.append(x[t] * tile + i), oj.append(y[t] * tile + j)
         lag += 1
-    z = np.empty(0, np.int64)
-    return (np.concatenate(oi), np.concatenate(oj)) if oi else (z, z)
-
-
-_BUCKET_SCHEMA = "a binary, b binary, token long, tile int, n int, sid binary, sk binary, n_lo int, n_hi int"
-
-
-def _bucket_pass(threshold: float, limit: int, tile: int):
-    names = ["a", "b", "token", "tile", "n", "sid", "sk", "n_lo", "n_hi"]
-    types = [pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
-
-    def out(k: int, **cols) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(k, t) for c, t in zip(names, types, strict=True)], names=names)
+        act = act[act + lag < m]
+        # rows ascend by population: the tile is skipped once even its first row is too far from the last of this one
+        meets = (bk[act, -1] == bk[act + lag, 0]) & (high[act] >= threshold * low[act + lag] - 1e-9)
+        act = act[meets]
+    return np.concatenate(oi), np.concatenate(oj)
+
+
+def _bucket_pass(threshold: float, tile: int):
+    def compare(t: pa.Table) -> pa.RecordBatch | None:
+        bucket, n, side = (t[c].to_numpy() for c in ("bucket", "n", "side"))
+        sid, sk = _bytes_matrix(t["sid"], 16), _bytes_matrix(t["sk"], SKETCH_BYTES).view(np.uint64)
+        fresh = np.ones(len(bucket), bool)  # a set may come once from each input partition
+        fresh[1:] = (bucket[1:] != bucket[:-1]) | (sid[1:] != sid[:-1]).any(axis=1)
+        bucket, n, side, sid, sk = bucket[fresh], n[fresh], side[fresh], sid[fresh], sk[fresh]
+        i, j = tile_pairs(bucket, n, sk, side, threshold, tile)
+        pairs = {(x, y) if x < y else (y, x) for x, y in zip((x.tobytes() for x in sid[i]), (x.tobytes() for x in sid[j]), strict=True) if x != y}
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], names=["a", "b"]) if pairs else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        hot, made = None, 0  # the token of a run that is being cut into tiles; its tiles so far
-
-        def tiles(t: pa.Table, whole: bool):
-            nonlocal made, rest
-            while t.num_rows >= tile or (whole and t.num_rows):
-                part, t = t.slice(0, tile), t.slice(tile)
-                n = part["n"].to_numpy()
-                yield out(len(n), token=np.full(len(n), hot), tile=np.full(len(n), made), n=n, sid=part["sid"].combine_chunks(), sk=part["sk"].combine_chunks())
-                yield out(1, token=[hot], tile=[made], n_lo=[int(n.min())], n_hi=[int(n.max())])
-                made += 1
-            rest = t if t.num_rows else None
-
-        def compare(t: pa.Table):
-            tok, n = t["token"].to_numpy(), t["n"].to_numpy()
-            sid, sk = _bytes_matrix(t["sid"], 16), _bytes_matrix(t["sk"], SKETCH_BYTES).view(np.uint64)
-            fresh = np.ones(len(tok), bool)  # a set may come once from each input partition
-            fresh[1:] = (tok[1:] != tok[:-1]) | (sid[1:] != sid[:-1]).any(axis=1)
-            tok, n, sid, sk = tok[fresh], n[fresh], sid[fresh], sk[fresh]
-            i, j = run_pairs(tok, n, sk, threshold)
-            if len(i):
-                a, b = [x.tobytes() for x in sid[i]], [x.tobytes() for x in sid[j]]
-                pairs = {(x, y) if x < y else (y, x) for x, y in zip(a, b, strict=True) if x != y}
-                if pairs:
-                    yield out(len(pairs), a=[x for x, _ in pairs], b=[y for _, y in pairs])
-
+        rest: list[pa.Table] = []  # the last bucket, which may go on in the next batch
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if rest is not None:
-                t, rest = pa.concat_tables([rest, t]).combine_chunks(), None
-            tok = t["token"].to_numpy()
-            if not len(tok):
+            if not batch.num_rows:
                 continue
-            if hot is not None:
-                k = int(np.searchsorted(tok != hot, True))
-                if k == len(tok):
-                    yield from tiles(t, False)
-                    continue
-                yield from tiles(t.slice(0, k), True)
-                hot, made, t, tok = None, 0, t.slice(k), tok[k:]
-            starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
-            ends = np.r_[starts[1:], len(tok)]
-            keep = np.ones(len(tok), bool)
-            for s, e in zip(starts, ends, strict=True):
-                if e - s > limit:
-                    keep[s:e] = False
-                    hot, made = int(tok[s]), 0
-                    yield from tiles(t.slice(s, e - s), e < len(tok))
-                    if e < len(tok):
-                        hot = None
-            if hot is None:  # the last run may go on in the next batch
-                last = int(starts[-1])
-                rest = t.slice(last)
-                keep[last:] = False
-            if keep.any():
-                yield from compare(t.filter(pa.array(keep)))
-        if rest is not None:
-            yield from (tiles(rest, True) if hot is not None else compare(rest))
-
-    return run
-
-
-def _tile_group(threshold: float):
-    def run(pdf):
-        import pandas as pd
-
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": []})
-        m = [(np.asarray(x["n"]), np.frombuffer(b"".join(map(bytes, x["sk"])), np.uint8).reshape(-1, SKETCH_BYTES).view(np.uint64), [bytes(s) for s in x["sid"]]) for x in (a, b)]
-        i, j = tile_pairs(m[0][0], m[0][1], m[1][0], m[1][1], threshold)
-        pairs = {(x, y) if x < y else (y, x) for x, y in ((m[0][2][p], m[1][2][q]) for p, q in zip(i, j, strict=True)) if x != y}
-        return pd.DataFrame({"a": [x for x, _ in pairs], "b": [y for _, y in pairs]})
+            t = pa.Table.from_batches([batch])
+            bucket = t["bucket"].to_numpy()
+            last = int(np.searchsorted(bucket != bucket[-1], False)) if bucket[0] == bucket[-1] else len(bucket) - int(np.argmax(bucket[::-1] != bucket[-1]))
+            if last or (rest and rest[-1]["bucket"][0].as_py() != bucket[0]):
+                whole = pa.concat_tables([*rest, t.slice(0, last)]).combine_chunks()
+                rest = []
+                if whole.num_rows and (out := compare(whole)):
+                    yield out
+            rest.append(t.slice(last))
+        if rest and (out := compare(pa.concat_tables(rest).combine_chunks())):
+            yield out
 
     return run
 
 
 def _set_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in batches:
-            texts = b.column(0).to_pylist()
-            sets = [(set_id(s, t), s) for t, s in zip(texts, shingle_sets(texts, width), strict=True) if s is not None]
+            texts, sets = b.column(0).to_pylist(), []
+            for t, s in zip(texts, shingle_sets(texts, width), strict=True):
+                if s is not None and (sid := set_id(s, t)) not in seen:
+                    seen.add(sid)
+                    sets.append((sid, s))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in sets], pa.binary()), pa.array([s.view(np.int64) for _, s in sets], pa.list_(pa.int64()))], names=["sid", "hs"])
 
     return run
 
 
-def set_links(df: DataFrame, id_col: str, text_col: str, width: int = 5, threshold: float = 0.8, slots_log2: int = 24, tile_limit: int = 4096, tile: int = 2048) -> tuple[DataFrame, DataFrame]:
+def set_links(df: DataFrame, id_col: str, text_col: str, width: int = 5, threshold: float = 0.8, slots_log2: int = 24, hot: int = 4096, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """(members: id, sid) and (links: a, b): the distinct pairs a < b of set ids at the threshold."""
     spark = ship(df.sparkSession)
     src = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -316,34 +294,42 @@ def set_links(df: DataFrame, id_col: str, text_col: str, width: int = 5, thresho
     merged = partial.groupBy("blk", "salt").applyInPandas(_merge_counters, "blk int, cnt binary").groupBy("blk").applyInPandas(_merge_counters, "blk int, cnt binary")
     counters_b = spark.sparkContext.broadcast([(r.blk, bytes(r.cnt)) for r in merged.collect()])  # at most 2**slots_log2 bytes
 
-    rows = src.mapInArrow(_prefix_pass(width, threshold, slots_log2, counters_b), "token long, n int, sid binary, sk binary")
-    bucketed = staged(rows.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(_bucket_pass(threshold, tile_limit, tile), _BUCKET_SCHEMA), "buckets")
-    cand = bucketed.where("a is not null").select("a", "b")
-    if not bucketed.where("n_lo is not null").isEmpty():  # runs that were cut into tiles
-        meta = bucketed.where("n_lo is not null").select("token", "tile", "n_lo", "n_hi")
-        ma, mb = meta.alias("x"), meta.alias("y")
-        tp = ma.join(mb, (F.col("x.token") == F.col("y.token")) & (F.col("x.tile") <= F.col("y.tile")) & (F.col("x.n_hi") >= threshold * F.col("y.n_lo") - 1e-9)).select(F.col("x.token").alias("token"), F.col("x.tile").alias("ta"), F.col("y.tile").alias("tb"))
-        held = bucketed.where("sid is not null").select("token", "tile", "n", "sid", "sk")
-        sides = [held.join(tp.withColumn("tile", F.col(c)), ["token", "tile"]).select("token", "ta", "tb", F.lit(s).alias("side"), "n", "sid", "sk") for s, c in enumerate(("ta", "tb"))]
-        cand = cand.unionByName(sides[0].unionByName(sides[1]).groupBy("token", "ta", "tb").applyInPandas(_tile_group(threshold), "a binary, b binary"))
-    cand = staged(cand.distinct(), "candidates")
+    rows = src.mapInArrow(_prefix_pass(width, threshold, slots_log2, hot, counters_b), _ROWS)
+    bucketed = rows.repartition("bucket").sortWithinPartitions("bucket", "n", "sid")
+    cand = staged(bucketed.mapInArrow(_bucket_pass(threshold, tile), "a binary, b binary").distinct(), "candidates")
 
     need = cand.select(F.col("a").alias("sid")).union(cand.select(F.col("b").alias("sid"))).distinct()
-    reps = members.groupBy("sid").agg(F.min("id").alias("id")).join(need, "sid", "left_semi").select("id")
-    sets = staged(src.join(reps, "id", "left_semi").select("text").mapInArrow(_set_rows(width), "sid binary, hs array<bigint>").dropDuplicates(["sid"]), "sets")
+    reps = staged(members.groupBy("sid").agg(F.min("id").alias("id")).join(need, "sid", "left_semi").select("id"), "representatives")
+    some = marked(src, F.col("id"), reps).where("_maybe").select("text")
+    sets = staged(some.mapInArrow(_set_rows(width), "sid binary, hs array<bigint>").join(need, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
     both = cand.join(sets.select(F.col("sid").alias("a"), F.col("hs").alias("ha")), "a").join(sets.select(F.col("sid").alias("b"), F.col("hs").alias("hb")), "b")
     shared = F.size(F.array_intersect("ha", "hb"))
     links = both.withColumn("shared", shared).where(F.col("shared") >= threshold * (F.size("ha") + F.size("hb") - F.col("shared")) - 1e-9).select("a", "b")
     return members, staged(links, "links")
 
 
+def expanded(members: DataFrame, links: DataFrame, block: int = COPY_BLOCK) -> DataFrame:
+    """(id_a, id_b) of all ids whose sets are linked or equal. Copies are cut into blocks of about
+    `block` by a hash of their id; a pair of blocks is a join key of its own, so neither side of the
+    join has a hot key."""
+    size = staged(members.groupBy("sid").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("copies")), "copies")
+    cut = members.join(size.where("blocks > 1").select("sid", "blocks"), "sid", "left").select("sid", F.coalesce(F.pmod(F.xxhash64("id"), "blocks").cast("int"), F.lit(0)).alias("blk"), "id")
+    several = size.where("copies > 1").select(F.col("sid").alias("a"), F.col("sid").alias("b"))
+    pairs = links.select("a", "b").unionByName(several)
+    for side in ("a", "b"):
+        held = size.where("blocks > 1").select(F.col("sid").alias(side), "blocks")
+        pairs = pairs.join(held, side, "left").withColumn(f"k{side}", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    pairs = pairs.where("a <> b OR ka <= kb")
+    for side, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(cut.select(F.col("sid").alias(side), F.col("blk").alias(f"k{side}"), F.col("id").alias(name)), [side, f"k{side}"])
+    pairs = pairs.where("x <> y AND (a <> b OR ka < kb OR x < y)")
+    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, width: int = 5, threshold: float = 0.8, **kw) -> DataFrame:
-    """All pairs (id_a < id_b) of ids at the threshold, copies included."""
-    members, links = set_links(df, id_col, text_col, width, threshold, **kw)
-    ma, mb = members.select(F.col("id").alias("x"), F.col("sid").alias("a")), members.select(F.col("id").alias("y"), F.col("sid").alias("b"))
-    across = links.join(ma, "a").join(mb, "b").where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    within = ma.join(mb, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))
-    return across.unionByName(within).distinct()
+    """All pairs (id_a < id_b) of ids at the threshold, copies included. `near_duplicate_groups` gives
+    the same links without one row a pair."""
+    return expanded(*set_links(df, id_col, text_col, width, threshold, **kw))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:

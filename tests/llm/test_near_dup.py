@@ -39,7 +39,7 @@ def corpus(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("kw", [{}, {"tile_limit": 8, "tile": 4}])
+@pytest.mark.parametrize("kw", [{}, {"hot": 3, "tile": 4}])
 def test_pairs_equal_brute_force(spark, kw):
     rows = corpus(1)
     df = spark.createDataFrame(rows, "id string, text string")
@@ -48,11 +48,11 @@ def test_pairs_equal_brute_force(spark, kw):
     assert len(got) > 50
 
 
-def test_hot_template_is_cut_into_tiles_without_loss(spark):
+def test_hot_template_is_spread_without_loss(spark):
     base = [f"t{k}" for k in range(40)]
     rows = [(f"h{k:03}", " ".join([*base[: k % 7], f"x{k}", *base[k % 7 :]])) for k in range(90)]
     df = spark.createDataFrame(rows, "id string, text string")
-    got = {tuple(r) for r in N.near_duplicate_pairs(df, "id", "text", 3, 0.7, slots_log2=18, tile_limit=16, tile=8).collect()}
+    got = {tuple(r) for r in N.near_duplicate_pairs(df, "id", "text", 3, 0.7, slots_log2=18, hot=16, tile=8).collect()}
     assert got == brute(rows, 3, 0.7)
 
 
@@ -106,3 +106,45 @@ def test_components_that_do_not_settle_are_an_error(spark):
     with pytest.raises(RuntimeError):
         N.components(path, max_rounds=2)
     assert {(r.node, r.root) for r in N.components(path).collect()} == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)}
+
+
+def test_hot_shingle_is_spread_before_the_shuffle(spark):
+    """No bucket of a shingle in every row holds more than its two groups."""
+    import pyarrow as pa
+
+    texts = [" ".join([f"t{k}" for k in range(30)] + [f"x{k}y"]) for k in range(600)]
+    counts = list(N._count_pass(3, 18)(iter([pa.RecordBatch.from_pydict({"id": [str(k) for k in range(600)], "text": texts})])))
+    blocks = [(r["blk"], r["cnt"]) for b in counts for r in b.to_pylist() if r["blk"] is not None]
+
+    class Held:
+        value = blocks
+
+    rows = [r for b in N._prefix_pass(3, 0.7, 18, 50, Held)(iter([pa.RecordBatch.from_pydict({"id": [str(k) for k in range(600)], "text": texts})])) for r in b.to_pylist()]
+    sizes = {}
+    for r in rows:
+        sizes[r["bucket"]] = sizes.get(r["bucket"], 0) + 1
+    assert max(sizes.values()) <= 3 * 50 and len(sizes) > 60
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(1, 9), st.integers(0, 2**64 - 1)), max_size=60), st.sampled_from([2, 4, 8]))
+@settings(max_examples=60, deadline=None)
+def test_tiles_compare_every_pair_of_a_bucket(rows, tile):
+    rows.sort()
+    bucket, n = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32)
+    sk = np.array([[r[2]] for r in rows], np.uint64).reshape(-1, 1)
+    got = set(zip(*(x.tolist() for x in N.tile_pairs(bucket, n, sk, np.zeros(len(rows), np.int8), 0.5, tile)), strict=True))
+    want = {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if bucket[i] == bucket[j] and n[i] >= 0.5 * n[j] and (rows[i][2] ^ rows[j][2]).bit_count() <= N.radius(n[i], n[j], 0.5)}
+    assert got == want
+
+
+def test_counters_keep_small_counts_and_never_saturate():
+    assert N.encoded(np.arange(16.0)).tolist() == list(range(16))
+    big = N.encoded(np.array([1e3, 1e6, 1e9, 1e12]))
+    assert (np.diff(big.astype(int)) > 20).all() and big.max() < 255
+
+
+def test_copies_are_paired_in_blocks(spark):
+    members = spark.createDataFrame([(f"i{k:02}", b"a" if k < 20 else b"b") for k in range(30)] + [("z", b"c")], "id string, sid binary")
+    links = spark.createDataFrame([(b"a", b"b")], "a binary, b binary")
+    got = {tuple(r) for r in N.expanded(members, links, block=3).collect()}
+    assert got == {(f"i{x:02}", f"i{y:02}") for x, y in itertools.combinations(range(30), 2)}
