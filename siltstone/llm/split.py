@@ -8,13 +8,13 @@ Where to cut: a rolling hash over the last tokens sets landmarks that depend on
 one cut on, the first landmark beyond the minimum size is taken and moved to the nearest natural
 boundary (heading or symbol of the row's paths, blank line, line, sentence, white space; stronger
 kinds first) between minimum and maximum size. So an edit changes the pieces around it, and the
-later ones fall on the same landmarks again. Only where no white space lies in reach is a stretch
-cut inside.
+later ones fall on the same landmarks again. Where no boundary lies between minimum and maximum, the
+last one below the minimum is taken; a stretch is cut inside only if it doesn't fit beside the overlap.
 
 Columns out: id, piece, n_pieces, text, n_tokens, start_char, fresh_char, end_char (code points;
 text[fresh_char:end_char] of all pieces in order is the text), boundary (what the piece ends at),
-cut ('none' for texts within the limit, 'forced' if a stretch without white space alone exceeds
-the limit, else 'boundary').
+cut ('none' for texts within the limit, 'forced' if a cut lies in a stretch without white space that
+alone exceeds the limit, else 'boundary').
 
 Defined cases: null texts give no row; empty and small texts one piece with cut 'none'. Repeated
 rows count once per id and text. Null or empty paths mean no such boundary. Extra columns are
@@ -50,12 +50,12 @@ def token_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
     return flat[0::2], flat[1::2]
 
 
-def longest_stretch(starts: np.ndarray, ends: np.ndarray) -> int:
-    """Most tokens in a row without white space between them."""
+def stretch_sizes(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Tokens of the stretch without white space that each token is in."""
     if not len(starts):
-        return 0
-    breaks = np.flatnonzero(starts[1:] != ends[:-1]) + 1
-    return int(np.diff(np.r_[0, breaks, len(starts)]).max())
+        return np.zeros(0, np.int64)
+    of = np.r_[0, np.cumsum(starts[1:] != ends[:-1])]
+    return np.bincount(of)[of]
 
 
 def boundaries(text: str, starts: np.ndarray, ends: np.ndarray, headings: list[str], symbols: list[str]) -> np.ndarray:
@@ -121,7 +121,9 @@ def cut_points(rank: np.ndarray, marks: np.ndarray, n: int, max_tokens: int, ove
             if ok.any():
                 best = int(near[ok][np.argmin(dist[ok])])
                 break
-        best = want if best is None else best
+        if best is None:  # a short piece rather than a cut inside of a stretch
+            early = np.flatnonzero(rank[at + 1 : lo] >= SPACE)
+            best = at + 1 + int(early[-1]) if len(early) else want
         cuts.append((best, int(rank[best])))
         at, room = best, max_tokens - overlap
     cuts.append((n, END))
@@ -134,8 +136,10 @@ def split_text(text: str, headings: list[str] | None = None, symbols: list[str]
     n = len(starts)
     if n <= max_tokens:
         return [(0, 1, text, n, 0, 0, len(text), KINDS[END], "none")]
-    cut = "forced" if longest_stretch(starts, ends) > max_tokens else "boundary"
     cuts = cut_points(boundaries(text, starts, ends, headings or [], symbols or []), landmarks(text, starts, ends), n, max_tokens, overlap)
+    # a stretch above the limit is in no piece as a whole, so some cut lies inside of it
+    inside = [c for c, _ in cuts if c < n and starts[c] == ends[c - 1]]
+    cut = "forced" if (stretch_sizes(starts, ends)[inside] > max_tokens).any() else "boundary"
     out, prev, fresh = [], 0, 0
     for k, (c, kind) in enumerate(cuts):
         first = max(0, prev - overlap) if k else 0

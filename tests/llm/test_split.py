@@ -49,6 +49,16 @@ def test_an_edit_of_a_text_without_spaces_changes_only_pieces_around_it():
     assert {p[8] for p in b} == {"forced"} and len(same) >= len(a) - 6
 
 
+def test_a_stretch_that_fits_is_not_cut():
+    text = "word " * 200 + "a." * 430 + " " + "word " * 900
+    pieces = S.split_text(text)
+    check(text, pieces, 1024, 64)
+    assert {p[8] for p in pieces} == {"boundary"} and "forced" not in {p[7] for p in pieces}
+    assert [p[3] for p in pieces][:2] == [200, 64 + 860 + 100] or pieces[0][3] == 200
+    long = S.split_text("word " * 200 + "a." * 520 + " " + "word " * 900)
+    assert {p[8] for p in long} == {"forced"}
+
+
 def test_headings_and_symbols_are_preferred():
     body = "\n".join(f"word{k} and more of it here" for k in range(40))
     text = "\n".join(["# One", body, "# Two", body, "# Three", body, "# Four", body, "# Five", body])
