@@ -251,7 +251,7 @@ def fit_cells(points: DataFrame, sizes: dict[int, int], list_rows: int, lists_a_
     return out
 
 
-def place_in_lists(points: DataFrame, dim: int, leaf: int, list_rows: int, lists_a_cell: int, max_sample: int, spread: float, max_cells: int, replicate: float, max_copies: int, prune: float, min_lists: int, max_lists: int, task_rows: int = 65_536) -> DataFrame:
+def place_in_lists(points: DataFrame, dim: int, leaf: int, list_rows: int, lists_a_cell: int, max_sample: int, spread: float, max_cells: int, replicate: float, max_copies: int, prune: float, min_lists: int, max_lists: int, task_rows: int = 8_192) -> DataFrame:
     """(list, side, vid, vec) of the vectors (field, vid, vec): where each is posted and where it searches.
 
     Lists keep their length and their number grows with the vectors: cells are fitted on a bounded
@@ -267,12 +267,14 @@ def place_in_lists(points: DataFrame, dim: int, leaf: int, list_rows: int, lists
     sample = homed.join(F.broadcast(held.select("home", share.alias("share"))), "home").where(F.pmod(F.xxhash64(F.lit(1), "vid"), F.lit(1_000_003)) < F.floor(F.col("share") * 1_000_003) + 1)
     fitted = staged(sample.select(F.col("home").alias("cell"), "vid", "vec").groupBy("cell").applyInPandas(_fit_cell(leaf), "cell int, vec binary"), "centroids")
 
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number, for the work isn't in the bytes
+
     def through(rows: DataFrame) -> DataFrame:
         """Rows (cell, vid, vec, near, others) past the centroids of their cell, a cell in as many tasks as it has `task_rows`."""
         parts = staged(rows.groupBy("cell").agg(F.ceil(F.count("*") / task_rows).cast("int").alias("parts")), "cell-parts")
         salted = rows.join(F.broadcast(parts), "cell").withColumn("salt", F.pmod(F.xxhash64("vid"), "parts").cast("int")).drop("parts").withColumn("kind", F.lit(1))
         heads = fitted.join(parts, "cell").select("cell", F.lit(None).cast("bigint").alias("vid"), "vec", F.lit(None).cast("double").alias("near"), F.lit(None).cast("array<int>").alias("others"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("kind"))
-        both = salted.unionByName(heads).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "kind")
+        both = salted.unionByName(heads).repartition(tasks, "cell", "salt").sortWithinPartitions("cell", "salt", "kind")
         return both.mapInArrow(_to_lists(dim, replicate, max_copies, prune, min_lists, max_lists), _LISTS)
 
     first = staged(through(homed.select(F.col("home").alias("cell"), "vid", "vec", F.lit(None).cast("double").alias("near"), "others")), "postings")
@@ -352,7 +354,7 @@ def nearest_in_fields(fields: dict[str, DataFrame], dim: int = 64, k: int = 10,
     flat = best.select("vid", F.explode("near").alias("s")).select("vid", F.col("s.d").alias("d"), F.col("s.nid").alias("nid"))
     flat = flat.join(several.withColumnRenamed("vid", "nid"), "nid", "left").select("vid", "d", F.explode(F.coalesce("head", F.array(_id_of("nid", len(names))))).alias("nid"))
     own_head = several.select("vid", F.lit(-1.0).alias("d"), F.explode("head").alias("nid"))
-    lists = flat.unionByName(own_head).groupBy("vid").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "nid"))), 1, k + 1).alias("near"))
+    lists = staged(flat.unionByName(own_head).groupBy("vid").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "nid"))), 1, k + 1).alias("near")), "nearest")
     # ids of a direction of one id are known; only copies look their direction up
     alone = lists.join(several.select("vid"), "vid", "left_anti").select(F.pmod("vid", F.lit(len(names))).cast("int").alias("field"), _id_of("vid", len(names)).alias("id"), "near")
     copies = named.select("field", "id", "dir").join(dirs.where(F.size("head") > 1).select("field", "dir", "vid"), ["field", "dir"]).join(lists, "vid").select("field", "id", "near")
