@@ -1,7 +1,9 @@
 """The license of each file and repository.
 
 1. Statements are read from the files: front matter, notices and license sections of the file
-   itself; license-family files and manifest entries for their directory.
+   itself; license-family files and manifest entries for their directory. Comment blocks, sections and
+   license-family files that hold the words of a license or of its header are told by a regression on
+   the word n-grams of license texts (`license_texts`); known names in a title come before it.
 2. Each named alternative of a statement goes through a multinomial logistic regression on word
    n-grams, trained on variants of the reference licenses written from templates, with a
    background class of other licenses. A name is rejected (open set) when its best probability is
@@ -9,7 +11,8 @@
 3. Predictions are reconciled along the path: the file's statements count; without any, those of
    the nearest directory above that has some.
 
-Results: the license ids sorted and joined by ' OR ', or CONFLICT, UNKNOWN, NONE.
+Results: the license ids sorted and joined by ' OR ', or CONFLICT, UNKNOWN, NONE. Where all of several
+apply ('A AND B') they are joined by ' AND '; an exception to a license ('A WITH x') leaves A.
 
 Defined cases: null or empty license lists, placeholders and pointers to a file are no statement.
 A document without its file is judged by its own entry and the directories above its path.
@@ -28,15 +31,19 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import clean_path, decode
+from siltstone.llm.license_texts import HINT as TEXT_HINT
+from siltstone.llm.license_texts import OTHER as ANOTHER_TEXT
+from siltstone.llm.license_texts import TextModel
 from siltstone.session import ship, staged, table
 
 MAX_REFERENCE = 2000
-UNKNOWN, OTHER = "UNKNOWN", "~other"
+UNKNOWN, OTHER, OTHER_NAME = "UNKNOWN", "~other", "LicenseRef-other"
 
 # Common names of licenses by id. {n} templates below make the variants.
 NAMES: dict[str, list[str]] = {
@@ -63,6 +70,8 @@ BACKGROUND: list[str] = [
     "proprietary", "commercial", "all rights reserved", "internal evaluation 1.0", "evaluation agreement", "source available 2", "community terms 1.1", "field of use", "company confidential", "custom terms",
     "LicenseRef eval", "LicenseRef proprietary", "LicenseRef custom 1.0", "Python 2.0", "PostgreSQL", "OpenSSL", "Ruby", "PHP 3.01", "Microsoft Public", "MS PL", "European Union Public 1.2", "EUPL 1.2", "NCSA", "Ms RL", "OFL 1.1", "SIL Open Font 1.1", "Vim", "JSON", "Beerware", "X11",
 ]
+# Names of families, which name no license alone; each weighs as much in training as a class.
+FAMILIES: list[str] = ["BSD", "BSD style", "Berkeley Software Distribution", "GNU", "CC", "Creative Commons"]
 GNU_OTHER: list[tuple[str, str, str]] = [(f, v, s) for f, v, s in itertools.product(("GPL", "LGPL", "AGPL"), ("1.0", "2.0", "2.1", "3.0"), ("only", "or later"))]
 PLACEHOLDERS = frozenset(["", "noassertion", "none", "unknown", "n a", "na", "tbd", "todo", "fixme", "null", "license", "unspecified", "undefined", "not specified", "other", "see license"])
 
@@ -118,7 +127,7 @@ def training_phrases(reference: list[tuple[str, str]]) -> list[tuple[str, str]]:
         if g := _gnu(spdx):
             forms |= set(_gnu_forms(*g))
         out |= {(t.format(n=f), spdx) for f in forms if f and f.strip() for t in _TEMPLATES}
-    other = set(BACKGROUND)
+    other = {*BACKGROUND, *FAMILIES}
     for g in GNU_OTHER:
         if g not in known_gnu:
             other |= set(_gnu_forms(*g))
@@ -146,7 +155,10 @@ class LicenseModel:
         x[:, -1] = 0.3
         y = np.zeros((len(rows), len(self.labels)))
         y[np.arange(len(rows)), [self.labels.index(label) for _, label in data]] = 1
-        weight = (1 / np.maximum(y.sum(0), 1))[y.argmax(1)][:, None] * len(rows) / len(self.labels)
+        weight = (1 / np.maximum(y.sum(0), 1))[y.argmax(1)]
+        alone = {" ".join(words(f)) for f in FAMILIES}
+        weight[[p in alone for p, _ in data]] = 1
+        weight = weight[:, None] * len(rows) / (len(self.labels) + len(alone))
         w, step = np.zeros((x.shape[1], len(self.labels))), np.zeros((x.shape[1], len(self.labels)))
         for _ in range(rounds):  # full-batch gradient descent with momentum; the result is fixed
             z = x @ w
@@ -185,6 +197,7 @@ def alternatives(statement: str) -> list[str]:
     for p in parts:
         p = re.sub(r"\s+", " ", p.replace("(", " ").replace(")", " ")).strip(" .;,:")
         p = re.sub(r"(?i)^(?:either|the|or)\s+", "", p)
+        p = re.sub(r"(?i)\s+with\s+(?:the\s+)?[\w.+ -]*exception[\w.+-]*$", "", p)
         if p and " ".join(re.findall(r"[a-z]+", p.lower())) not in PLACEHOLDERS:
             out.append(p)
     return out
@@ -194,8 +207,12 @@ def value_of(names: list[str], predict) -> str | None:
     """One value of a statement: known ids sorted and joined, UNKNOWN, or None for no statement."""
     if not names:
         return None
-    known = sorted({x for x in map(predict, names) if x != UNKNOWN})
-    return " OR ".join(known) if known else UNKNOWN
+    known = set()
+    for n in names:
+        all_of = {predict(x) for x in re.split(r"\s+(?:AND|&)\s+", n)}
+        if UNKNOWN not in all_of:
+            known.add(" AND ".join(sorted(all_of)))
+    return " OR ".join(sorted(known)) if known else UNKNOWN
 
 
 # --- statements in files ---------------------------------------------------------------------------
@@ -214,7 +231,7 @@ _NOTICE = [re.compile(p) for p in (
     r"(?i)^(?:[\w ,'/@.-]{0,120} )?under the conditions of " + _TAIL,
 )]
 # a file without these can't match any of the patterns: each needs one of them within a line
-_HINT = re.compile(rf"(?i)licen[sc]e|{_SAID}|(?:terms|conditions) of".encode())
+_HINT = re.compile(rf"(?i)licen[sc]e|{_SAID}|(?:terms|conditions) of|{TEXT_HINT}".encode())
 _COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|<!--|--|;|%|\"\"\"|''')")
 
 
@@ -239,14 +256,14 @@ def front_matter(text: str) -> tuple[list[str], str]:
     return [x.strip().strip("\"'") for x in items if x.strip()], text[m.end() :]
 
 
-def own_statements(text: str, prose: bool) -> list[list[str]]:
+def own_statements(text: str, prose: bool, texts: TextModel | None = None) -> list[list[str]]:
     """Names by statement that a file makes about itself. In code only comments can."""
     out: list[list[str]] = []
     if prose:
         entries, text = front_matter(text)
         if names := [n for e in entries for n in alternatives(e)]:
             out.append(names)
-    block, previous = "", ""
+    block, lines = "", []
     for raw in text.split("\n"):
         # state of a block comment, for lines without a mark of their own
         inside = bool(block)
@@ -259,7 +276,15 @@ def own_statements(text: str, prose: bool) -> list[list[str]]:
             block = ""
         commented = inside or bool(_COMMENT.match(raw))
         line = _DECOR.sub("", _DECOR.sub("", raw)).strip() if commented else raw.strip()
-        if prose or commented:
+        lines.append((line, prose or commented))
+    told: set[int] = set()
+    if texts is not None:
+        for label, at in texts.licenses([x if said else None for x, said in lines]):
+            out.append([label if label != ANOTHER_TEXT else OTHER_NAME])
+            told |= set(at)
+    previous = ""
+    for i, (line, may) in enumerate(lines):
+        if may and i not in told:
             joined = f"{previous} {line}" if previous.endswith((" the", " on", " under", " of")) else line
             said = notice(line) or notice(joined)
             if said and (names := alternatives(said)):
@@ -268,6 +293,15 @@ def own_statements(text: str, prose: bool) -> list[list[str]]:
     return out
 
 
+def family_statement(text: str, predict, texts: TextModel) -> list[str]:
+    """Names of a license-family file: those it gives, if one is known, else the license whose words it holds."""
+    names = family_names(text)
+    if not any(predict(n) != UNKNOWN for n in names):
+        told = [label for label, _ in texts.licenses([x.strip() for x in text.split("\n")]) if label != ANOTHER_TEXT]
+        names = told or names
+    return names
+
+
 def family_names(text: str) -> list[str]:
     """Names that a license-family file gives."""
     lines = [x.strip().strip("#").strip() for x in text.split("\n") if x.strip()]
@@ -303,21 +337,23 @@ def manifest_names(base: str, text: str) -> list[str]:
 _STATED = "scope string, path string, level string, names array<string>"
 
 
-def _read_files(reference: list[tuple[str, str]]):
+def _read_files(models_b):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, texts = models_b.value
+        predict = lru_cache(65536)(model.predict)
         for b in batches:
             rows: list[tuple] = []
             for scope, path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 base = path.rsplit("/", 1)[-1].lower()
                 if _FAMILY.fullmatch(base):
-                    if names := family_names(decode(raw)):
+                    if names := family_statement(decode(raw), predict, texts):
                         rows.append((scope, path, "family", names))
                 elif base in MANIFESTS:
                     if names := manifest_names(base, decode(raw)):
                         rows.append((scope, path, "manifest", names))
                 elif raw and _HINT.search(raw) and not re.match(r"(?:notice|patents)(?:[-.].*)?$", base):
                     prose = base.rsplit(".", 1)[-1] in {"md", "mdx", "markdown", "txt", "rst", "adoc", "html", "htm"} or "." not in base
-                    rows += [(scope, path, "file", names) for names in own_statements(decode(raw), prose)]
+                    rows += [(scope, path, "file", names) for names in own_statements(decode(raw), prose, texts)]
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["scope", "path", "level", "names"])
@@ -325,11 +361,12 @@ def _read_files(reference: list[tuple[str, str]]):
     return run
 
 
-def _value_udf(model_b):
+def _value_udf(models_b):
     @F.pandas_udf("string")
-    def value(names):
-        predict = lru_cache(65536)(model_b.value.predict)
-        return names.map(lambda x: None if x is None else value_of([n for n in x if n], predict))
+    def value(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        predict = lru_cache(65536)(models_b.value[0].predict)
+        for names in batches:
+            yield names.map(lambda x: None if x is None else value_of([n for n in x if n], predict))
 
     return value
 
@@ -352,10 +389,11 @@ def resolve_licenses(docs: DataFrame, files: DataFrame, versions: DataFrame, sou
     ref = [(r.spdx_id, r.title or "") for r in reference.select("spdx_id", "title").where("spdx_id is not null").distinct().limit(MAX_REFERENCE + 1).collect()]
     if len(ref) > MAX_REFERENCE:
         raise ValueError(f"the reference has more than {MAX_REFERENCE} licenses")
-    value, entry = _value_udf(spark.sparkContext.broadcast(LicenseModel(sorted(ref)))), _entry_udf()
+    models_b = spark.sparkContext.broadcast((LicenseModel(sorted(ref)), TextModel(sorted(x for x, _ in ref))))
+    value, entry = _value_udf(models_b), _entry_udf()
 
     src = files.select(F.col("source_version_id").cast("string").alias("scope"), clean_path(F.col("path")).alias("path"), F.col("content").cast("binary").alias("content")).where("path is not null")
-    stated = src.mapInArrow(_read_files(ref), _STATED)
+    stated = src.mapInArrow(_read_files(models_b), _STATED)
     here = F.regexp_replace("path", r"/?[^/]*$", "")
     # license-family files of a directory are one statement
     key = F.when(F.col("level") == "file", F.col("path")).when(F.col("level") == "manifest", F.col("path")).otherwise(here)
@@ -366,22 +404,25 @@ def resolve_licenses(docs: DataFrame, files: DataFrame, versions: DataFrame, sou
 
     own = valued.where("level = 'file'").groupBy("scope", "path").agg(F.collect_set("value").alias("said"))
     active = versions.where("is_active").select(F.col("id").cast("string").alias("scope"), F.col("source_id").alias("source_id")).distinct()
-    roots = sources.select(F.col("id").alias("source_id"), "license").groupBy("source_id").agg(F.first("license", True).alias("license")).withColumn("names", entry("license")).withColumn("value", F.when(F.size("names") > 0, value("names")))
+    roots = sources.select(F.col("id").alias("source_id"), "license").groupBy("source_id").agg(F.min("license").alias("license")).withColumn("names", entry("license")).withColumn("value", F.when(F.size("names") > 0, value("names")))
     dirs = valued.where("level <> 'file'").select("scope", F.when(F.col("level") == "manifest", here).otherwise(F.col("path")).alias("dir"), "value")
     dirs = dirs.unionByName(active.join(roots, "source_id").where("value is not null").select("scope", F.lit("").alias("dir"), "value"))
     dirs = dirs.groupBy("scope", "dir").agg(F.collect_set("value").alias("values")).select("scope", "dir", _settle(F.col("values")).alias("dir_license"))
 
-    d = docs.select(F.col("id").cast("string").alias("id"), F.col("source_version_id").cast("string").alias("scope"), clean_path(F.col("source_path")).alias("path"), "license").where("id is not null").dropDuplicates(["id"])
+    d = docs.select(F.col("id").cast("string").alias("id"), F.struct(F.col("source_version_id").cast("string").alias("scope"), clean_path(F.col("source_path")).alias("path"), F.col("license").cast("array<string>").alias("license")).alias("m")).where("id is not null")
+    d = d.groupBy("id").agg(F.min("m").alias("m")).select("id", "m.*")  # of different rows under one id the smallest counts
     d = d.withColumn("names", entry("license")).withColumn("entered", F.when(F.size("names") > 0, value("names"))).select("id", "scope", "path", "entered")
     d = d.join(own, ["scope", "path"], "left")
-    d = d.select("id", "scope", "path", _settle(F.array_distinct(F.array_compact(F.array_append(F.coalesce("said", F.array().cast("array<string>")), F.col("entered"))))).alias("license"))
-
-    # directories above, nearest first: a/b/c.md -> a/b, a, ''
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, F.size(parts) - k), "/"))
-    open_ = d.where("license is null").select("id", "scope", F.posexplode(F.coalesce(above, F.array(F.lit("")))).alias("up", "dir"))
-    near = open_.join(dirs, ["scope", "dir"]).groupBy("id").agg(F.min_by("dir_license", "up").alias("near"))
-    per_file = d.join(near, "id", "left").select(F.lit("file").alias("unit_kind"), F.col("id").alias("unit_id"), F.coalesce("license", "near", F.lit("NONE")).alias("license"))
+    d = d.select("id", "scope", here.alias("dir"), _settle(F.array_distinct(F.array_compact(F.array_append(F.coalesce("said", F.array().cast("array<string>")), F.col("entered"))))).alias("license"))
+    d = staged(d, "documents")
+
+    # the directories of documents, each once, with those above, nearest first: a/b -> a/b, a, ''
+    parts = F.split("dir", "/")
+    above = F.concat(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, F.size(parts) - k), "/")), F.array(F.lit("")))
+    open_ = d.where("license is null and scope is not null").select("scope", F.coalesce("dir", F.lit("")).alias("dir")).distinct()
+    up = open_.select("scope", F.col("dir").alias("from"), F.posexplode(above).alias("up", "dir"))
+    near = up.join(dirs, ["scope", "dir"]).groupBy("scope", F.col("from").alias("dir")).agg(F.min_by("dir_license", "up").alias("near"))
+    per_file = d.withColumn("dir", F.coalesce("dir", F.lit(""))).join(near, ["scope", "dir"], "left").select(F.lit("file").alias("unit_kind"), F.col("id").alias("unit_id"), F.coalesce("license", "near", F.lit("NONE")).alias("license"))
 
     at_root = active.join(dirs.where("dir = ''"), "scope").groupBy("source_id").agg(F.collect_set("dir_license").alias("values"))
     per_source = roots.join(at_root, "source_id", "left").where("source_id is not null")

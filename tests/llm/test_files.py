@@ -5,6 +5,7 @@ import pytest
 
 from siltstone.llm import codefiles as G
 from siltstone.llm import license as L
+from siltstone.llm import license_texts as T
 
 REFERENCE = [("MIT", "MIT License"), ("Apache-2.0", "Apache License, Version 2.0"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("ISC", "ISC License"), ("MPL-2.0", "Mozilla Public License 2.0"), ("GPL-2.0-only", "GNU General Public License v2.0 only"), ("GPL-3.0-only", "GNU General Public License v3.0 only"), ("GPL-3.0-or-later", "GNU General Public License v3.0 or later"), ("LGPL-3.0-only", "GNU Lesser General Public License v3.0 only"), ("AGPL-3.0-only", "GNU Affero General Public License v3.0 only"), ("Unlicense", "The Unlicense"), ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"), ("Zlib", "zlib License")]
 
@@ -47,6 +48,44 @@ def test_statements(text, prose, want):
     assert L.own_statements(text, prose) == want
 
 
+class Held:
+    value = (L.LicenseModel(sorted(REFERENCE)), T.TextModel(sorted(x for x, _ in REFERENCE)))
+
+
+GPL = """{0} This file is part of Thing. Thing is free software: you can redistribute it and/or modify
+{0} it under the terms of the GNU General Public License as published by
+{0} the Free Software Foundation, either version {1} of the License, or
+{0} (at your option) any later version.
+{0}
+{0} Thing is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+{0} implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+"""
+MIT_TEXT = "Copyright (c) 2020 Some Body\n\n" + "\n\n".join(T._MIT)
+
+
+@pytest.mark.parametrize("path,text,want", [
+    ("a.py", GPL.format("#", 3) + "go()", "GPL-3.0-or-later"), ("a.py", GPL.format("#", 2) + "go()", "UNKNOWN"), ("a.c", "/*\n" + GPL.format(" *", 3) + " */\ngo();", "GPL-3.0-or-later"),
+    ("a.ts", "/*\n" + MIT_TEXT + "\n*/\ngo();", "MIT"), ("README.md", "# Thing\n\nIt works.\n\n## License\n\n" + MIT_TEXT + "\n", "MIT"), ("a.ts", "const t = `" + T._MIT[0] + "`;", None),
+    ("LICENSE", MIT_TEXT, "MIT"), ("LICENSE", T._ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies.", "ISC"), ("LICENSE", T._ISC_GRANT + ".\n\n" + T._ISC_WARRANTY, "UNKNOWN"),
+    ("COPYING", "House Terms 9\n\nYou may look at this software but permission to copy it is not given to anyone here at all.", "UNKNOWN"),
+    ("a.rs", "// This function takes permission flags of the software and returns the rights of each person to use the given files.\ngo();", None),
+    ("a.js", "// SPDX-License-Identifier: MIT AND Apache-2.0\n", "Apache-2.0 AND MIT"), ("a.js", "// SPDX-License-Identifier: GPL-3.0-only WITH Classpath-exception-2.0\n", "GPL-3.0-only"), ("a.js", "// License: BSD\n", "UNKNOWN"), ("a.js", "// SPDX-License-Identifier: MIT AND Weird-1 OR ISC\n", "ISC"),
+])
+def test_texts_and_expressions(path, text, want):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["v"]), pa.array([path]), pa.array([text.encode()])], names=["scope", "path", "content"])
+    got = [L.value_of(r["names"], Held.value[0].predict) for b in L._read_files(Held)(iter([batch])) for r in b.to_pylist()]
+    assert got == ([want] if want else [])
+
+
+def test_every_training_text_passes_the_filter_and_is_told():
+    known = {x for x, _ in REFERENCE}
+    for text, label in T.training_rows(known):
+        assert L._HINT.search(text.encode())
+        assert Held.value[1].predict(text) == label
+
+
 def docs(spark, rows):
     return spark.createDataFrame(rows, "id string, source_version_id string, source_path string, license array<string>, names int, scope int")
 
@@ -74,7 +113,7 @@ def test_every_notice_passes_the_filter(line, want):
 
     for path, text in (("README.md", line), ("a.rs", f"// {line}\ncode()")):
         batch = pa.RecordBatch.from_arrays([pa.array(["v"]), pa.array([path]), pa.array([text.encode()])], names=["scope", "path", "content"])
-        got = [r for b in L._read_files(REFERENCE)(iter([batch])) for r in b.to_pylist()]
+        got = [r for b in L._read_files(Held)(iter([batch])) for r in b.to_pylist()]
         assert [r["names"] for r in got] == ([want] if want else [])
 
 
