@@ -6,12 +6,14 @@ fixed spacing, indentation by depth. Line breaks, spaces and indentation of the
 with that form:
 
 * data: `LITERALS` of the code characters, or more, lie in string and number literals;
-* minified: the canonical form has `EXPANSION` times the lines of the file, or more, or the file
-  lacks `MISSING` of the white space of that form;
-* generated: a comment at the head declares a generator, or one line shape (literals and names
-  replaced) makes up `UNIFORM` of the code lines, or, in files of `CANONICAL_LINES` or more,
-  `CANONICAL_UNIFORM` of them where `AGREEMENT` of the layout is canonical. Agreement alone decides
-  nothing: formatted hand-written files have it;
+* minified: the canonical form has `EXPANSION` times the lines of the file, or more, and at least
+  `LEAST_CANONICAL`, or the file lacks `MISSING` of the white space of that form;
+* generated: a comment at the head declares a generator, or one shape (literals and names replaced)
+  makes up `UNIFORM` of the statements of the canonical form, imports aside, of which there are
+  `LEAST_STATEMENTS` or more, or, in files of `CANONICAL_LINES` or more, `CANONICAL_UNIFORM` of them
+  where `AGREEMENT` of the layout is canonical. Agreement alone decides nothing: formatted
+  hand-written files have it. Elements of one list are no statements, so lists and enumerations
+  aren't uniform;
 * third_party: a directory of the path is one where third-party code is kept, a comment at the head
   says the file comes from elsewhere, or the bytes equal those of a file in such a directory.
 
@@ -39,7 +41,7 @@ from siltstone.session import ship, table
 CODE_EXTENSIONS = "ts tsx mts cts js jsx mjs cjs rs go py pyi compact sol java kt kts scala c h cc cpp cxx hpp hh cs rb php swift lua dart sh bash pl r jl ex exs erl hs ml zig nim vue svelte css scss sql".split()
 THIRD_PARTY_DIRS = "third_party third-party thirdparty 3rdparty vendor vendored node_modules bower_components external externals deps".split()
 
-EXPANSION, LITERALS, UNIFORM, LEAST_LINES = 4.0, 0.62, 0.75, 4
+EXPANSION, LEAST_CANONICAL, LITERALS, UNIFORM, LEAST_STATEMENTS = 4.0, 12, 0.62, 0.75, 10
 WIDTH, MISSING, LEAST_WHITE, AGREEMENT, CANONICAL_UNIFORM, CANONICAL_LINES = 100, 0.9, 20, 0.99, 0.6, 30
 HASH_COMMENTS = frozenset("py pyi rb sh bash pl r jl ex exs nim".split())
 
@@ -59,7 +61,8 @@ LEXERS = {e: re.compile(rf"(?P<c>\A\#!(?!\[)[^\n]*|{_COMMENTS.get(e, _C_STYLE)})
 
 _GENERATED = re.compile(r"@generated\b|<auto-?generated|\bauto-?generated (?:by|from)\b|\bcode generated by\b|\bmachine-made output\b|\bgenerated file\b.*\bdo not (?:modify|edit)\b|\bautomatically (?:created|generated)\b|\bwas (?:written|generated) by\b.*\b(?:change|edit)s? will be (?:lost|overwritten)\b|\bdo not edit\b", re.I)
 _NOT_GENERATED = re.compile(r"no longer a generated|first generated by|is not\b|checks? that", re.I)
-_ELSEWHERE = re.compile(r"^\W*(?:third-party (?:source|code)\s*:|vendored from\b|imported from\b.*\b(?:kept in sync|at tag)\b|copied (?:verbatim )?from upstream\b)", re.I)
+_ELSEWHERE = re.compile(r"^\W*(?:third-party (?:source|code)\s*:|vendored from\b|(?:copied|taken|imported|mirrored|pulled)(?: (?:verbatim|unchanged|unmodified|as is))? (?:from|out of)\b.*\b(?:upstream|kept in sync|at tag|project|repository|release|commit|version|v?\d+\.\d+))", re.I)
+_IMPORTS = frozenset("import from use using require include mod package extern".split())
 
 
 _OPENS, _CLOSES = "([{", ")]}"
@@ -231,12 +234,12 @@ def layout(text: str, extension: str) -> dict[str, float]:
     expansion: lines of the canonical form by lines of the file; missing: share of the white space of
     the canonical form that the file lacks; agreement: share of line breaks, spaces and indentations
     that are those of the canonical form; gaps: how many were compared. Besides, literals, uniform,
-    lines, marker, elsewhere."""
+    lines, canonical (its lines), statements, marker, elsewhere."""
     hashed = extension in HASH_COMMENTS
     tokens, chars, head = _lex(text, extension)
     code = sum(chars.values())
     out = {
-        "expansion": 0.0, "missing": 0.0, "agreement": 0.0, "gaps": 0, "white": 0, "uniform": 0.0, "lines": 0,
+        "expansion": 0.0, "missing": 0.0, "agreement": 0.0, "gaps": 0, "white": 0, "uniform": 0.0, "lines": 0, "canonical": 0, "statements": 0,
         "literals": (chars["s"] + chars["n"]) / code if code else 0.0,
         "marker": any(_GENERATED.search(x) and not _NOT_GENERATED.search(x) for x in head),
         "elsewhere": any(_ELSEWHERE.search(x) for x in head),
@@ -244,6 +247,7 @@ def layout(text: str, extension: str) -> dict[str, float]:
     if not tokens:
         return out
     gaps, match, depth = _statements(tokens, hashed)
+    shapes = Counter(_shapes(tokens, gaps))
     _broken(tokens, gaps, match, depth)
     lines = 1 + sum(t[2] > 0 for t in tokens[1:])
     starts = [t[4] for t in tokens if t[2]]
@@ -266,20 +270,21 @@ def layout(text: str, extension: str) -> dict[str, float]:
         elif want is not None and had is not None:
             compared += 1
             same += want == had
-    shapes = Counter(_shapes(tokens))
-    out |= {"expansion": sum(g == 2 for g in gaps) / lines, "missing": missing / white if white else 0.0, "agreement": same / compared if compared else 0.0, "gaps": compared, "white": white, "uniform": max(shapes.values()) / lines, "lines": lines}
+    statements, canonical = sum(shapes.values()), sum(g == 2 for g in gaps)
+    out |= {"expansion": canonical / lines, "canonical": canonical, "statements": statements, "missing": missing / white if white else 0.0, "agreement": same / compared if compared else 0.0, "gaps": compared, "white": white, "uniform": max(shapes.values()) / statements if shapes else 0.0, "lines": lines}
     return out
 
 
-def _shapes(tokens: list[list]) -> Iterator[str]:
-    """The lines of the file with names and literals replaced."""
-    line: list[str] = []
-    for t in tokens:
-        if t[2] and line:
-            yield "".join(line)
+def _shapes(tokens: list[list], gaps: list[int | None]) -> Iterator[str]:
+    """The statements of the canonical form with names and literals replaced, without imports."""
+    line: list[list] = []
+    for t, gap in zip([*tokens, None], [*gaps, 2], strict=True):
+        if gap == 2 and line:
+            first = [x[1] for x in line[:2]]
+            if not (_IMPORTS.intersection(first) or (first[0] == "export" and any(x[1] == "from" for x in line))):
+                yield "".join(x[0].upper() if x[0] in "wsn" else x[1] for x in line)
             line = []
-        line.append(t[0].upper() if t[0] in "wsn" else t[1])
-    yield "".join(line)
+        line.append(t)
 
 
 def judge(text: str, extension: str) -> str | None:
@@ -289,10 +294,10 @@ def judge(text: str, extension: str) -> str | None:
         return "third_party"
     if m["literals"] >= LITERALS:
         return "data"
-    if m["expansion"] >= EXPANSION or (m["missing"] >= MISSING and m["white"] >= LEAST_WHITE):
+    if (m["expansion"] >= EXPANSION and m["canonical"] >= LEAST_CANONICAL) or (m["missing"] >= MISSING and m["white"] >= LEAST_WHITE):
         return "minified"
     canonical = m["agreement"] >= AGREEMENT and m["lines"] >= CANONICAL_LINES and m["uniform"] >= CANONICAL_UNIFORM
-    if m["marker"] or canonical or (m["uniform"] >= UNIFORM and m["lines"] >= LEAST_LINES):
+    if m["marker"] or canonical or (m["uniform"] >= UNIFORM and m["statements"] >= LEAST_STATEMENTS):
         return "generated"
     return None
 

@@ -155,6 +155,24 @@ def test_verdicts_by_layout(text, extension, want):
     assert G.judge(text, extension) == want
 
 
+NAMES = "Alpha Beta Gamma Delta Eps Zeta Eta Theta Iota Kappa Lam Mu".split()
+
+
+@pytest.mark.parametrize("text,extension,want", [
+    ("".join(f"import {{ {n} }} from './{n.lower()}';\n" for n in NAMES), "ts", None),
+    ("".join(f"export * from './{n.lower()}';\n" for n in NAMES), "ts", None),
+    ("".join(f"pub use self::{n.lower()}::{n};\n" for n in NAMES), "rs", None),
+    ("export enum Kind {\n" + "".join(f"  {n} = '{n.lower()}',\n" for n in NAMES) + "}\n", "ts", None),
+    (".a { color: red; }\n.b { margin: 0; padding: 1px; }\n.c { display: none; }\n.d { color: blue; }\n.e { width: 1px; }\n", "css", None),
+    ("export function add(a: number, b: number): number { const c = a + b; log(c); return c; }\n", "ts", None),
+    ("const a = one(1);\nconst b = one(2);\nconst c = one(3);\nconst d = one(4);\n", "ts", None),
+    ("// Copied verbatim out of the meridian project, release 2.1\n" + BODY, "ts", "third_party"),
+    ("// Copied from the tests on the next page by hand.\n" + BODY, "ts", None),
+])
+def test_hand_written_files_of_one_kind(text, extension, want):
+    assert G.judge(text, extension) == want
+
+
 @pytest.mark.parametrize("head,extension", [
     ("// Copyright line\n" * 60 + "// {}", "ts"), ("# Copyright line\n" * 60 + "# {}", "py"), ("#!/usr/bin/env node\n// {}", "js"), ("<?php\n// {}", "php"), ("<?php\n# {}", "php"), ("-- {}", "sql"), ("/* {} */", "sql"),
     ("--[[\n{}\n]]", "lua"), ("-- {}", "lua"), ("{{- {} -}}", "hs"), ("-- {}", "hs"), ("%% {}", "erl"), ("(* {} *)", "ml"), ("<!-- {} -->", "vue"), ("<script lang='ts'>\n// {}", "svelte"), ("#= {} =#", "jl"), ("#[ {} ]#", "nim"), ("=begin\n{}\n=end", "rb"), ("/* {} */", "css"),
