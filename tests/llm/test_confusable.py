@@ -20,7 +20,7 @@ SAME = [
     ("ë", "ё"),
     ("Kelvin", "Kelvin"),
 ]
-DIFFERENT = [("a", "A"), ("e", "é"), ("1", "2"), ("a\nb", "a\r\nb"), ("a b", "a  b"), ("a\tb", "a b"), ("x2", "x²"), ("word", "words"), ("O", "0")]
+DIFFERENT = [("a", "A"), ("e", "é"), ("1", "2"), ("a\nb", "a\r\nb"), ("a b", "a  b"), ("a\tb", "a b"), ("x2", "x²"), ("word", "words"), ("O", "0"), ("Hi", "𝐇𝐢"), ("1", "①"), ("...", "…"), ("k", "ᵏ")]
 
 
 @pytest.mark.parametrize("a,b", SAME)
@@ -60,3 +60,17 @@ def test_pairs(spark):
     groups = C.same_look_groups(df, "doc_id", "text")
     assert groups.where("doc_id = 102").first().n_texts == 2
     assert C.same_look_pairs(df.where("1 = 0"), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("text,want", [
+    ("plain words", (0, 0)), ("Москва слово", (0, 0)), ("Mосkva", (1, 0)), ("оса and wasp", (0, 1)), ("日本のテスト", (0, 0)), ("한국漢字", (0, 0)), ("日本a", (1, 0)), ("нос сор ком", (0, 1)), ("Ꭺpple ꓐꓰꓔꓮ", (1, 1)), ("ｗｉｄｅ", (0, 0)), ("", (0, 0)),
+])
+def test_kinds_of_tokens(text, want):
+    assert C.token_kinds(text) == want
+
+
+def test_a_hot_look_is_paired_in_blocks(spark):
+    rows = [(k, "wо" + "​" * (k % 5) + "rd") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {tuple(r) for r in C.same_look_pairs(df, "doc_id", "text", block=4).collect()}
+    assert got == brute(rows)
