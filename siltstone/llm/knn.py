@@ -311,7 +311,7 @@ def _best(s: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(part, np.argsort(-np.round(np.take_along_axis(s, part, 1), 12), axis=1, kind="stable")[:, :k], 1)
 
 
-def nearest_in_fields(fields: dict[str, DataFrame], dim: int = 64, k: int = 10, leaf: int = 64, list_rows: int = 512, lists_a_cell: int = 64, max_sample: int = 131_072, spread: float = 0.25, max_cells: int = 16, replicate: float = 0.04, max_copies: int = 4, prune: float = 0.25, min_lists: int = 4, max_lists: int = 64, block: int = 2048, search_block: int = 4096) -> DataFrame:
+def nearest_in_fields(fields: dict[str, DataFrame], dim: int = 64, k: int = 10, leaf: int = 64, list_rows: int = 512, lists_a_cell: int = 64, max_sample: int = 131_072, spread: float = 0.25, max_cells: int = 16, replicate: float = 0.04, max_copies: int = 4, prune: float = 0.15, min_lists: int = 4, max_lists: int = 64, block: int = 2048, search_block: int = 4096) -> DataFrame:
     """(field, id, neighbour_id, rank, cosine) of the k nearest of each id in the frames (id, vec) of
     each field, all in one plan."""
     names = sorted(fields)
