@@ -3,20 +3,23 @@
 Pre-tokenisation works on whole batches as arrays, without regular expressions:
 
 1. The UTF-8 buffer of the batch is read as one array of code points; one table maps each to its
-   class (letter, number, white space, other).
-2. Run starts and ends come from scans over the classes (running maxima, an associative operation,
-   so texts are scanned together and cut at text borders).
-3. Local rules place the boundaries: white space leaves its last character to what follows, a
-   space joins the run after it, an apostrophe that starts a run takes s, t, re, ve, m, ll or d.
+   class (letter, number, white space, other). With what a look at the next characters tells (the last
+   of a run of white space, an apostrophe before s, t, re, ve, m, ll or d, the begin of a text) the
+   class becomes one of 16 symbols.
+2. A symbol is a function on the 8 states of the pre-tokeniser (which slice is open). All functions that
+   symbols make by composition are a small finite set, so composing two is one look-up, and as it is
+   associative the buffer is scanned in blocks at once: functions of blocks, states at their begins,
+   states inside. A slice starts where state and symbol say so.
+3. The begin of a text is a constant function, so texts are scanned together and don't touch.
 
 The slices feed a cache from slice to ids; a slice not seen before is merged pair by pair, lowest
-rank first. `decode_ids` gives back every byte. Offsets of the slices aren't kept: `offsets` counts
-the byte where each id begins from the ids.
+rank first. The slices' places are kept: `with_offsets` gives the byte where each id begins.
+`decode_ids` gives back every byte.
 
 Defined ids: a null text gives null ids or, with `null_as_empty` (the default), an empty list; an
 empty text gives an empty list. Repeated ids of documents give one row (equal rows count once; of
-different texts under one id the smallest is taken). Extra columns are ignored; an empty table
-gives no rows. The strings of special tokens are ordinary text.
+different texts under one id the smallest is taken, by every operator here). Extra columns are
+ignored; an empty table gives no rows. The strings of special tokens are ordinary text.
 """
 
 from __future__ import annotations
@@ -57,41 +60,111 @@ def classes() -> np.ndarray:
     return _CLASSES[0]
 
 
+# States: no slice open; a run of letters, numbers, other marks or white space; a space that joins what
+# follows; one or two letters of a contraction to come.
+_END, _L, _N, _P, _W, _SP, _K1, _K2 = range(8)
+# Symbols: letter, number, mark, apostrophe of a contraction of two or three characters, white space inside
+# of its run, the last one of a run before other text: a space, and another. From 8 on: the same, first in a text.
+_LETTER, _NUMBER, _MARK, _TWO, _THREE, _INNER, _JOINS, _ALONE = range(8)
+_FIRST = 8
+
+
+def _step(state: int, symbol: int) -> tuple[int, bool]:
+    """(next state, whether a slice starts here)."""
+    if symbol >= _FIRST:
+        state, symbol = _END, symbol - _FIRST
+    if symbol == _INNER:
+        return _W, state != _W
+    if symbol in (_JOINS, _ALONE):
+        return (_SP if symbol == _JOINS else _END), True
+    if symbol in (_TWO, _THREE) and state not in (_P, _SP):
+        return (_K1 if symbol == _TWO else _K2), True
+    if symbol == _LETTER and state in (_K1, _K2):
+        return (_END if state == _K1 else _K1), False
+    run = {_LETTER: _L, _NUMBER: _N}.get(symbol, _P)
+    return run, state not in (run, _SP)
+
+
+def _monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(functions by number as tables, numbers of the products of two, numbers of the symbols, next states
+    and starts): all compositions of the symbols' functions."""
+    nxt, out = np.zeros((8, 16), np.uint8), np.zeros((8, 16), bool)
+    for st in range(8):
+        for x in range(16):
+            nxt[st, x], out[st, x] = _step(st, x)
+    known: dict[tuple, int] = {}
+    of_symbol = np.zeros(16, np.int64)
+    for x in range(16):
+        of_symbol[x] = known.setdefault(tuple(nxt[:, x].tolist()), len(known))
+    todo = list(known)
+    while todo:  # closed under composition
+        f = todo.pop()
+        for g in list(known):
+            for h in (tuple(g[i] for i in f), tuple(f[i] for i in g)):
+                if h not in known:
+                    known[h] = len(known)
+                    todo.append(h)
+    table = np.array(list(known), np.uint8)
+    product = np.array([[known[tuple(g[i] for i in f)] for g in known] for f in known], np.uint16)
+    return table, product, of_symbol, np.stack([nxt, out.astype(np.uint8)])
+
+
+_MONOID: list[tuple] = []
+
+
+def states_before(sym: np.ndarray) -> np.ndarray:
+    """State before each symbol, by a scan of composed transition functions: inside of blocks for all
+    blocks at once, then over the blocks, then inside of them again with the state at their begin."""
+    if not _MONOID:
+        _MONOID.append(_monoid())
+    table, product, of_symbol, (nxt, _) = _MONOID[0]
+    n = len(sym)
+    width = max(1, int(n**0.5))
+    blocks = -(-n // width)
+    grid = np.zeros(blocks * width, sym.dtype)
+    grid[:n] = sym
+    grid = np.ascontiguousarray(grid.reshape(blocks, width).T)  # a row holds one place of every block
+    f = of_symbol[grid[0]]
+    for row in grid[1:]:
+        f = product[f, of_symbol[row]]
+    begin, at = np.zeros(blocks, np.uint8), _END
+    for k, g in enumerate(table[f].tolist()):
+        begin[k] = at
+        at = g[at]
+    out = np.empty((width, blocks), np.uint8)
+    for k, row in enumerate(grid):
+        out[k] = begin
+        begin = nxt[begin, row]
+    return np.ascontiguousarray(out.T).ravel()[:n]
+
+
+def symbols_of(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The symbol of each code point."""
+    n = len(cp)
+    c = classes()[cp]
+    white, more = c == SPACE, ~np.r_[first[1:], True]  # more: the text goes on
+    last = white & more & np.r_[c[1:] != SPACE, False]
+    sym = np.array([_INNER, _LETTER, _NUMBER, _MARK], np.uint8)[c]
+    sym[last] = np.where(cp[last] == 32, _JOINS, _ALONE)
+    q = np.flatnonzero((cp == 39) & more)
+    if len(q):
+        a = cp[q + 1]
+        b = np.where(more[q + 1], cp[np.minimum(q + 2, n - 1)], 0)
+        two = np.isin(a, [ord(x) for x in "stmd"])
+        three = (np.isin(a, [ord("r"), ord("v")]) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
+        sym[q[two]], sym[q[three]] = _TWO, _THREE
+    sym[first] += _FIRST
+    return sym
+
+
 def slice_starts(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Start flags of the slices. `cp`: code points of texts in a row; `first`: flags of the
     positions where a text begins."""
-    n = len(cp)
-    if not n:
+    if not len(cp):
         return np.zeros(0, bool)
-    c = classes()[cp]
-    start = first.copy()
-    start[1:] |= c[1:] != c[:-1]  # runs of one class inside a text
-    space = c == SPACE
-    last = np.r_[start[1:], True]  # last position of its run
-    text_end = np.r_[first[1:], True]
-    gives = space & last & ~text_end  # the white space that goes with what follows, or stands alone
-    out = start.copy()
-    out |= gives
-    joined = np.zeros(n, bool)  # run starts that a space before them joins
-    joined[1:] = gives[:-1] & (cp[:-1] == 32)
-    out &= ~joined
-    # contractions: an apostrophe that starts a slice by itself
-    q = np.flatnonzero(start & ~joined & (cp == 39))
-    if len(q):
-        border = np.maximum.accumulate(np.where(first, np.arange(n), 0))  # start of the text of each position
-        nxt = np.minimum(q + 1, n - 1)
-        a = np.where((q + 1 < n) & (border[nxt] == border[q]), cp[nxt], 0)
-        nx2 = np.minimum(q + 2, n - 1)
-        b = np.where((q + 2 < n) & (border[nx2] == border[q]), cp[nx2], 0)
-        one = np.isin(a, [ord(x) for x in "stmd"])
-        two = ((a == ord("r")) & (b == ord("e"))) | ((a == ord("v")) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
-        taken = q[one | two]
-        width = np.where(one, 2, 3)[one | two]
-        out[taken + 1] = False
-        out[taken[width == 3] + 2] = False
-        after = taken + width
-        out[after[after < n]] = True
-    return out
+    sym = symbols_of(cp, first)
+    before = states_before(sym)
+    return _MONOID[0][3][1][before, sym].astype(bool)
 
 
 class Vocabulary:
@@ -160,11 +233,11 @@ class Vocabulary:
             cache.clear()
         return got
 
-    def encode_buffer(self, data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of ids of each text). `data`: the UTF-8 texts in a
-        row; `sizes`: their bytes."""
+    def encode_buffer(self, data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each text, byte of the buffer where each slice
+        begins and number of its ids). `data`: the UTF-8 texts in a row; `sizes`: their bytes."""
         if not len(data):
-            return np.zeros(0, np.int32), np.zeros(len(sizes), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(sizes), np.int64), np.zeros((2, 0), np.int64)
         cp = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32)
         raw = np.frombuffer(data, np.uint8)
         at_byte = np.flatnonzero((raw & 0xC0) != 0x80)  # byte where each code point begins
@@ -178,7 +251,24 @@ class Vocabulary:
         ids = np.fromiter(chain.from_iterable(got), np.int32, int(counts.sum()))
         per = np.add.reduceat(np.r_[counts, 0], np.minimum(np.searchsorted(at, begins[:-1]), len(counts)))
         per[sizes == 0] = 0
-        return ids, per
+        return ids, per, np.stack([at, counts])
+
+    def id_bytes(self) -> np.ndarray:
+        """Bytes of each id."""
+        if not hasattr(self, "_lengths"):
+            self._lengths = np.zeros(max(self.ranks.values()) + 1, np.int32)
+            for k, v in self.ranks.items():
+                self._lengths[v] = len(k)
+        return self._lengths
+
+    def id_offsets(self, ids: np.ndarray, per: np.ndarray, slices: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Byte of its text where each id begins: the begin of its slice, and the ids of the slice before it."""
+        n = self.id_bytes()[ids].astype(np.int64)
+        before = np.cumsum(n) - n
+        at, counts = slices
+        some = counts > 0
+        inside = before - np.repeat(before[(np.cumsum(counts) - counts)[some]], counts[some])
+        return np.repeat(at, counts) + inside - np.repeat(np.cumsum(sizes) - sizes, per)
 
     def encode(self, text: str) -> list[int]:
         data = text.encode("utf-8", "replace")
@@ -190,8 +280,8 @@ class Vocabulary:
 
     def offsets(self, ids: list[int]) -> list[int]:
         """Byte of the text where each id begins."""
-        by_id = self.__dict__.setdefault("_bytes", {v: k for k, v in self.ranks.items()})
-        return np.cumsum([0] + [len(by_id[i]) for i in ids])[:-1].astype(int).tolist() if ids else []
+        n = self.id_bytes()[np.asarray(ids, np.int64)]
+        return (np.cumsum(n) - n).tolist()
 
 
 def column_bytes(col: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -228,19 +318,24 @@ def vocabulary(lines_b) -> Vocabulary:
     return _VOCABULARIES[key]
 
 
-def _encode_batches(lines_b, counts_only: bool):
+def _encode_batches(lines_b, counts_only: bool, with_offsets: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(lines_b)
         for b in batches:
             data, sizes, _ = column_bytes(b.column(1))
             begins = np.r_[0, np.cumsum(sizes)]
             for s in steps(sizes):
-                ids, per = v.encode_buffer(data[begins[s.start] : begins[s.stop]], sizes[s])
+                ids, per, slices = v.encode_buffer(data[begins[s.start] : begins[s.stop]], sizes[s])
                 key = b.column(0).slice(s.start, s.stop - s.start)
                 if counts_only:
                     out = pa.array(per.astype(np.int32))
                 else:
-                    out = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)].astype(np.int32)), pa.array(ids))
+                    cuts = pa.array(np.r_[0, np.cumsum(per)].astype(np.int32))
+                    out = pa.ListArray.from_arrays(cuts, pa.array(ids))
+                if with_offsets:
+                    places = pa.array(v.id_offsets(ids, per, slices, sizes[s]).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([key, out, pa.ListArray.from_arrays(cuts, places)], names=["doc_id", "ids", "offsets"])
+                    continue
                 yield pa.RecordBatch.from_arrays([key, out], names=["doc_id", "ids"])
 
     return run
@@ -252,15 +347,17 @@ def read_ranks(spark: SparkSession, rank_file: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode_corpus(df: DataFrame, id_col: str, text_col: str, rank_file: str = RANK_FILE, null_as_empty: bool = True) -> DataFrame:
-    """(doc_id, ids): the ids of every text, without special tokens."""
+def encode_corpus(df: DataFrame, id_col: str, text_col: str, rank_file: str = RANK_FILE, null_as_empty: bool = True, with_offsets: bool = False) -> DataFrame:
+    """(doc_id, ids): the ids of every text, without special tokens; `with_offsets` adds offsets, the byte
+    of the UTF-8 text where each id begins."""
     spark = ship(df.sparkSession)
     lines_b = read_ranks(spark, rank_file)
+    schema = "doc_id bigint, ids array<int>" + (", offsets array<int>" if with_offsets else "")
     one = distinct_texts(df, id_col, text_col)
     if null_as_empty:
-        return one.mapInArrow(_encode_batches(lines_b, False), "doc_id bigint, ids array<int>")
-    done = one.where("text is not null").mapInArrow(_encode_batches(lines_b, False), "doc_id bigint, ids array<int>")
-    return done.unionByName(one.where("text is null").select("doc_id", F.lit(None).cast("array<int>").alias("ids")))
+        return one.mapInArrow(_encode_batches(lines_b, False, with_offsets), schema)
+    done = one.where("text is not null").mapInArrow(_encode_batches(lines_b, False, with_offsets), schema)
+    return done.unionByName(one.where("text is null").select("doc_id", F.lit(None).cast("array<int>").alias("ids")), allowMissingColumns=True)
 
 
 def distinct_texts(df: DataFrame, id_col: str, text_col: str, broadcast_ids: int = 100_000) -> DataFrame:
@@ -280,9 +377,8 @@ def distinct_texts(df: DataFrame, id_col: str, text_col: str, broadcast_ids: int
 def token_counts(df: DataFrame, id_col: str, text_col: str, rank_file: str = RANK_FILE) -> DataFrame:
     """(doc_id, n_tokens): 0 for null and empty texts."""
     lines_b = read_ranks(ship(df.sparkSession), rank_file)
-    src = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    counted = src.mapInArrow(_encode_batches(lines_b, True), "doc_id bigint, ids int")
-    return counted.groupBy("doc_id").agg(F.max("ids").alias("n_tokens"))
+    one = distinct_texts(df, id_col, text_col)
+    return one.mapInArrow(_encode_batches(lines_b, True), "doc_id bigint, ids int").withColumnRenamed("ids", "n_tokens")
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,25 @@ def test_ids_equal_the_reference_and_decode_exactly(text):
     assert len(off) == len(ids) and off == sorted(off)
 
 
+def test_the_transition_functions_are_closed_and_compose():
+    table, product, of_symbol, (nxt, _) = E._monoid()
+    assert len(table) < 64 and (product < len(table)).all()
+    r = np.random.default_rng(1)
+    for n in (1, 2, 3, 50, 1000, 4097):
+        sym = r.integers(0, 16, n).astype(np.uint8)
+        state, want = 0, []
+        for x in sym.tolist():
+            want.append(state)
+            state = int(nxt[state, x])
+        assert E.states_before(sym).tolist() == want
+
+
+def test_repeated_ids_count_alike_everywhere(spark):
+    df = spark.createDataFrame([(1, "b b b"), (1, "a"), (1, None), (2, "c")], "doc_id bigint, text string")
+    ids = {r.doc_id: len(r.ids) for r in E.encode_corpus(df, "doc_id", "text").collect()}
+    assert ids == {r.doc_id: r.n_tokens for r in E.token_counts(df, "doc_id", "text").collect()} == {1: 1, 2: 1}
+
+
 def test_long_slices(vocabulary, reference):
     for text in ("ab" * 5000, "x" * 20_000, "漢" * 3000, "=" * 9999, " " * 5000 + "a"):
         assert vocabulary.encode(text) == reference.encode_ordinary(text)
@@ -54,7 +73,7 @@ def test_texts_in_a_row_do_not_touch(vocabulary, reference):
     r = random.Random(4)
     texts = ["".join(r.choice(["a", " ", "'s", "\n", "1", "é", ""]) for _ in range(r.randint(0, 5))) for _ in range(3000)]
     raw = [t.encode() for t in texts]
-    ids, per = vocabulary.encode_buffer(b"".join(raw), np.array([len(x) for x in raw]))
+    ids, per, _ = vocabulary.encode_buffer(b"".join(raw), np.array([len(x) for x in raw]))
     cut = np.r_[0, np.cumsum(per)]
     assert [ids[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)] == [reference.encode_ordinary(t) for t in texts]
 
@@ -65,6 +84,9 @@ def test_corpus_with_nulls_and_repeats(spark, reference):
     got = {r.doc_id: r.ids for r in E.encode_corpus(df, "doc_id", "text").collect()}
     assert got == {i: reference.encode_ordinary(t or "") for i, t in rows if i is not None}
     assert E.encode_corpus(df, "doc_id", "text").count() == 5
+    places = {r.doc_id: (r.ids, r.offsets) for r in E.encode_corpus(df, "doc_id", "text", with_offsets=True).collect()}
+    v = E.Vocabulary(RAW)
+    assert {i: o for i, (_, o) in places.items()} == {i: v.offsets(ids) for i, ids in got.items()}
     nulls = {r.doc_id: r.ids for r in E.encode_corpus(df, "doc_id", "text", null_as_empty=False).collect()}
     assert nulls[2] is None and nulls[3] == []
     assert E.encode_corpus(df.where("1 = 0"), "doc_id", "text").count() == 0
