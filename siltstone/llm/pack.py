@@ -23,6 +23,7 @@ import bisect
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,18 +54,18 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def lower_bound(sizes: list[int], capacity: int) -> int:
-    """The larger of the volume bound and the bounds that count the waste beside large items."""
-    total = sum(sizes)
-    best = -(-total // capacity)
-    big = sorted((s for s in sizes if 2 * s > capacity), reverse=True)
-    best = max(best, len(big))
-    small = sorted(s for s in sizes if 2 * s <= capacity)
-    # items too large to share with anything of at least `low` waste their rest
-    for low in sorted(set(small))[:64]:
-        alone = sum(1 for s in big if s > capacity - low)
-        rest = sum(s for s in sizes if low <= s <= capacity - low)
-        best = max(best, alone + -(-rest // capacity))
-    return best
+    """The larger of the volume bound and, for every size that a small item has, the bound that counts the
+    rest beside large items which nothing of that size or more fits beside."""
+    if not sizes:
+        return 0
+    n = np.bincount(np.asarray(sizes, np.int64), minlength=capacity + 1)
+    items, volume = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(n * np.arange(capacity + 1))]  # below a size
+    low = np.flatnonzero(n[1 : capacity // 2 + 1]) + 1
+    alone = items[capacity + 1] - items[capacity - low + 1]
+    rest = volume[capacity - low + 1] - volume[low]
+    bounds = alone + -(-rest // capacity)
+    big = int(items[capacity + 1] - items[capacity // 2 + 1])
+    return int(max(-(-sum(sizes) // capacity), big, *bounds.tolist(), 0))
 
 
 def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
@@ -218,7 +219,9 @@ def pack_documents(df: DataFrame, id_col: str, text_col: str, capacity: int = CA
     first = F.col("part").cast("bigint") * capacity
     items = staged(items.select("doc_id", "part", first.alias("first_token"), F.least(F.col("n_tokens") - first, F.lit(capacity)).cast("int").alias("n_tokens")), "items")
     shards = max(1, -(-items.count() // shard_items))
-    sharded = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part"), F.lit(shards)))
+    # by number: the work of a shard isn't in its bytes, so they mustn't be put together by size
+    tasks = min(shards, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism))
+    sharded = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part"), F.lit(shards))).repartition(tasks, "shard")
     return sharded.groupBy("shard").applyInPandas(_pack_group(capacity, search_nodes, most, keep), "container_id bigint, doc_id bigint, part int, first_token bigint, n_tokens int")
 
 

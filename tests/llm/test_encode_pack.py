@@ -101,6 +101,25 @@ def test_packing_holds_all_and_never_does_worse_than_best_fit(sizes):
     assert P.lower_bound(sizes, 2048) <= len(bins) <= len(P.best_fit_decreasing(sizes, 2048))
 
 
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=8), st.integers(12, 15))
+@settings(max_examples=80, deadline=None)
+def test_small_packings_are_optimal(sizes, capacity):
+    """Against all ways to fill containers."""
+
+    def best(left: tuple, rooms: tuple) -> int:
+        if not left:
+            return len(rooms)
+        out = best(left[1:], (*rooms, capacity - left[0]))
+        for r in set(rooms):
+            if r >= left[0]:
+                k = rooms.index(r)
+                out = min(out, best(left[1:], (*rooms[:k], r - left[0], *rooms[k + 1 :])))
+        return out
+
+    least = best(tuple(sorted(sizes, reverse=True)), ())
+    assert P.lower_bound(sizes, capacity) <= least == len(P.bin_completion(sizes, capacity))
+
+
 def test_completion_beats_best_fit():
     sizes = [6, 5, 5, 4, 3, 3, 2, 2]  # 30 in containers of 10
     assert len(P.bin_completion(sizes, 10)) == 3
