@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import scoring
+from siltstone.functions.text import terms
 from siltstone.functions.versions import best_outcomes, classify_udf, keeps, parse_version_column
 from siltstone.model import Corpus
 from siltstone.operators import analytics, facets, navigate, overlap, search
@@ -42,14 +43,20 @@ def _terms_sql(text: str) -> str:
     return f"list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' AND w NOT IN ({stop}))"
 
 
+# each query asks for any of its words: word or word or ...
 LEX = f"""t AS (SELECT id, {_terms_sql('content')} AS ts FROM live), f AS (SELECT id, len(ts) AS n_terms, unnest(ts) AS term FROM t),
     tc AS (SELECT id, term, n_terms, count(*) AS tf FROM f GROUP BY ALL),
-    qt AS (SELECT pair_id AS query_id, unnest(list_distinct({_terms_sql('text')})) AS term FROM {QUERY}), need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY 1),
-    h AS (SELECT query_id, id, count(*) AS have, sum(ln(1 + CAST(tf AS DOUBLE))) AS w, max(n_terms) AS n_terms FROM tc JOIN qt USING (term) GROUP BY 1, 2),
-    lx AS (SELECT query_id, id, round(w / ln(2 + CAST(n_terms AS DOUBLE)), 9) AS lexical FROM h JOIN need USING (query_id) WHERE have = need),
+    qt AS (SELECT pair_id AS query_id, unnest(list_distinct({_terms_sql('text')})) AS term FROM {QUERY}),
+    h AS (SELECT query_id, id, ln(1 + CAST(sum(tf) AS DOUBLE)) AS w, max(n_terms) AS n_terms FROM tc JOIN qt USING (term) GROUP BY 1, 2),
+    lx AS (SELECT query_id, id, round(w / ln(2 + CAST(n_terms AS DOUBLE)), 9) AS lexical FROM h),
     lx_r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, id) AS INT) AS rank FROM lx)"""
 
 
+def _any_word(text) -> Column:
+    """The web-style query for any word of a text."""
+    return F.array_join(terms(text), " or ")
+
+
 @query("vector_topk", f"WITH {LIVE}, {_vec_sql('embedding', 'vector')} SELECT query_id, id, similarity, rank FROM q_r WHERE rank <= 100")
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     c = _corpus(spark, sf)
@@ -65,7 +72,7 @@ def code_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query("lexical_topk", f"WITH {LIVE}, {LEX} SELECT query_id, id, lexical, rank FROM lx_r WHERE rank <= 100")
 def lexical_topk(spark: SparkSession, sf: str) -> DataFrame:
     c = _corpus(spark, sf)
-    return search.matching_chunks(search.searchable(c), _queries(c).select("query_id", "text"), stemmed=False)  # as the SQL
+    return search.matching_chunks(search.searchable(c), _queries(c).select("query_id", _any_word(F.col("text")).alias("text")), stemmed=False)  # as the SQL
 
 
 def _fused_sql(key: str, lists: str) -> str:
@@ -83,31 +90,25 @@ def _three(spark: SparkSession, sf: str) -> list[DataFrame]:
     return [
         search.nearest_chunks(chunks, q.select("query_id", "vector"), DIM),
         search.nearest_chunks(chunks, q.select("query_id", F.col("code_vector").alias("vector")), DIM, "code_embedding"),
-        search.matching_chunks(chunks, q.select("query_id", "text"), stemmed=False),  # as the SQL
+        search.matching_chunks(chunks, q.select("query_id", _any_word(F.col("text")).alias("text")), stemmed=False),  # as the SQL
     ]
 
 
 @query("hybrid_rrf", f"{_LISTS}, {_fused_sql('query_id', _THREE)} SELECT query_id, id, rrf, place FROM placed WHERE place <= 20")
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    return search.fuse_each(_three(spark, sf))
+    return search.fuse_each(_three(spark, sf)).drop("n_matched")
 
 
 @query(
     "rrf_multi_query",
     f"""{_LISTS}, a AS ({_THREE}), r AS (SELECT p.request_id, a.* FROM a JOIN {QUERY} p ON p.pair_id = a.query_id),
-    g AS (SELECT request_id, id, round(sum(1.0 / (60 + rank)), 12) AS rrf, count(DISTINCT query_id) AS n_matched FROM r GROUP BY 1, 2),
-    o AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY rrf DESC, id) AS INT) AS place FROM g) SELECT * FROM o WHERE place <= 20""",
+    g AS (SELECT request_id, id, round(sum(1.0 / (60 + rank)), 12) AS rrf, count(DISTINCT query_id) AS n_matched, min(struct_pack(list_no := list_no, rank := rank)) AS origin FROM r GROUP BY 1, 2)
+    SELECT request_id, id, rrf, n_matched, CAST(row_number() OVER (PARTITION BY request_id ORDER BY rrf DESC, origin, id) AS INT) AS place FROM g QUALIFY place <= 20""",
 )
 def rrf_multi_query(spark: SparkSession, sf: str) -> DataFrame:
     """All queries of a request in one fused list, with the number of queries that found a chunk."""
     of = _queries(_corpus(spark, sf)).select("query_id", "request_id")
-    rows = None
-    for x in _three(spark, sf):
-        part = x.select("query_id", "id", "rank")
-        rows = part if rows is None else rows.unionByName(part)
-    f = rows.join(of, "query_id").groupBy("request_id", "id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 12).alias("rrf"), F.count_distinct("query_id").alias("n_matched"))
-    w = Window.partitionBy("request_id").orderBy(F.desc("rrf"), "id")
-    return f.withColumn("place", F.row_number().over(w)).where("place <= 20")
+    return search.fuse_each([x.join(of, "query_id") for x in _three(spark, sf)], key="request_id")
 
 
 @query(
@@ -192,7 +193,6 @@ FILTERS: dict[str, tuple[dict, str, bool]] = {
     "facet_and": ({"kind": {"any_of": ["code"]}, "verified": False, "token_count": {"min": 100}, "language": {"none_of": ["go"]}}, "kind = 'code' AND NOT coalesce(provenance.verified, false) AND token_count >= 100 AND coalesce(language, '') <> 'go'", False),
     "facet_package_none_of": ({"package": {"none_of": [{"kind": "npm", "name": "hacinrorkuncra"}]}}, "package_kind IS NULL OR NOT (package_kind = 'npm' AND package_name = 'hacinrorkuncra')", False),
     "facet_strict_target": ({"language_target": {"any_of": [{"name": "compact", "version_satisfies": "1.0"}]}}, "coalesce(len(list_filter(provenance.language_targets, lambda t: t.name = 'compact')) > 0, false)", True),
-    "facet_strict_sdk": ({"sdk_dependency": {"any_of": [{"kind": "npm", "name": "velum-sdk"}]}}, "coalesce(len(list_filter(provenance.sdk_dependencies, lambda t: t.name = 'velum-sdk')) > 0, false)", True),
     "facet_empty": ({"language": {"any_of": []}}, "true", False),
 }
 
@@ -209,6 +209,18 @@ for _name, (_f, _where, _strict) in FILTERS.items():
     query(_name, f"WITH {JOINED} SELECT id FROM j WHERE {_where}")(_filter_query(_f, _strict))
 
 
+def _first_sdk(c: Corpus) -> str:
+    """The least dependency name of the corpus (one row)."""
+    return c.documents.select(F.explode("provenance.sdk_dependencies.name").alias("n")).agg(F.min("n").alias("n")).first().n
+
+
+@query("facet_strict_sdk", f"WITH {JOINED}, w AS (SELECT min(t.name) AS n FROM (SELECT unnest(provenance.sdk_dependencies) AS t FROM {DOC})) SELECT id FROM j, w WHERE coalesce(list_contains(list_transform(provenance.sdk_dependencies, lambda t: t.name), n), false)")
+def facet_strict_sdk(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that declare a dependency that exists in the corpus."""
+    c = _corpus(spark, sf)
+    return search.filtered(c, {"sdk_dependency": {"any_of": [{"kind": "npm", "name": _first_sdk(c)}]}}, True).select("id")
+
+
 # --- versions --------------------------------------------------------------------------------------
 
 
