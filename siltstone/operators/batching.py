@@ -71,6 +71,39 @@ def halves(start: int, end: int, fits: Callable[[int, int], bool]) -> list[tuple
     return halves(start, mid, fits) + halves(mid, end, fits)
 
 
+def _numbered(rows: DataFrame, key: str, order: str, measures: list[str], number: Callable[[list[tuple[int, ...]]], list[tuple[int, int]]]) -> DataFrame:
+    """(key, order, batch): the groups that `number` cuts the ordered rows of each key into. The measures
+    of a key are one array, so Arrow batches hold many keys."""
+    ship(rows.sparkSession)
+    each = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *measures))).alias("c"))
+    each = each.select(key, F.transform("c", lambda x: x[order]).alias("at"), F.transform("c", lambda x: F.array(*[x[m].cast("bigint") for m in measures])).alias("m"))
+    kinds = dict(each.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [[g for g, (x, y) in enumerate(number([tuple(i) for i in items])) for _ in range(x, y)] for items in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], names=[key, "at", "g"])
+
+    got = each.mapInArrow(run, f"{key} {kinds[key]}, at {kinds['at']}, g array<int>")
+    return got.select(key, F.explode(F.arrays_zip("at", "g")).alias("z")).select(key, F.col("z.at").alias(order), F.col("z.g").alias("batch"))
+
+
+def capped_batches(rows: DataFrame, key: str, order: str, measures: list[str], caps: tuple[int, ...]) -> DataFrame:
+    """(key, order, batch): greedy batches where each measure stays under its cap (texts and tokens of an
+    embedding call, documents and bytes of an upload)."""
+    return _numbered(rows, key, order, measures, lambda items: by_caps(items, caps))
+
+
+def halved_batches(rows: DataFrame, key: str, order: str, measure: str, limit: int) -> DataFrame:
+    """(key, order, batch): the rows of a key cut in two until each part is within the limit, or one row."""
+
+    def number(items: list[tuple[int, ...]]) -> list[tuple[int, int]]:
+        totals = list(accumulate((x[0] for x in items), initial=0))
+        return halves(0, len(items), lambda a, b: totals[b] - totals[a] <= limit) if items else []
+
+    return _numbered(rows, key, order, [measure], number)
+
+
 def fold_groups(sizes: Column, limit: int) -> Column:
     """Group number of each element of an ordered array, by max-fill. The fold keeps the first place of
     each group only, so it is linear in the elements; the numbers are laid out at the end."""

@@ -152,23 +152,6 @@ def next_revision(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.next_revision(c.versions, c.sources)
 
 
-@query("active_violations", "SELECT source_id, 'several active' AS why FROM source_version WHERE is_active GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT source_id, 'flag and status differ' FROM source_version WHERE is_active <> (status = 'active')")
-def active_violations(spark: SparkSession, sf: str) -> DataFrame:
-    return lifecycle.active_violations(_c(spark, sf).versions)
-
-
-@query("model_violations", f"SELECT c.id, c.source_version_id, c.embedding_model_id, v.embedding_model_id AS want FROM {CHUNK} c JOIN source_version v ON v.id = c.source_version_id WHERE c.embedding IS NOT NULL AND c.embedding_model_id IS DISTINCT FROM v.embedding_model_id")
-def model_violations(spark: SparkSession, sf: str) -> DataFrame:
-    c = _c(spark, sf)
-    return lifecycle.model_violations(c.chunks, c.versions)
-
-
-@query("dimension_violations", f"SELECT id, CAST(len(embedding) AS INT) AS dim FROM {CHUNK} WHERE embedding IS NOT NULL AND len(embedding) <> 64 UNION ALL SELECT id, CAST(len(code_embedding) AS INT) FROM {CHUNK} WHERE code_embedding IS NOT NULL AND len(code_embedding) <> 64")
-def dimension_violations(spark: SparkSession, sf: str) -> DataFrame:
-    c = _c(spark, sf).chunks
-    return lifecycle.dimension_violations(c, "embedding", 64).unionByName(lifecycle.dimension_violations(c, "code_embedding", 64))
-
-
 @query("corpus_model", "SELECT embedding_model_id AS model_id FROM source_version WHERE is_active ORDER BY ingested_at DESC, id DESC LIMIT 1")
 def corpus_model(spark: SparkSession, sf: str) -> DataFrame:
     return _c(spark, sf).corpus_model
@@ -186,16 +169,6 @@ def versions_newest_first(spark: SparkSession, sf: str) -> DataFrame:
     return _c(spark, sf).versions.select("source_id", "id", "revision", F.row_number().over(w).alias("place"))
 
 
-@query("rollback_versions", "SELECT id, CASE WHEN status = 'inactive' AND place = 1 THEN 'active' WHEN is_active AND has THEN 'inactive' ELSE status END AS status FROM (SELECT *, row_number() OVER (PARTITION BY source_id, status ORDER BY revision DESC, id) AS place, bool_or(status = 'inactive') OVER (PARTITION BY source_id) AS has FROM source_version)")
-def rollback_versions(spark: SparkSession, sf: str) -> DataFrame:
-    """Every source goes back to its newest inactive revision, where it has one."""
-    v = _c(spark, sf).versions
-    s = Window.partitionBy("source_id", "status").orderBy(F.desc("revision"), "id")
-    target = (F.col("status") == "inactive") & (F.row_number().over(s) == 1)
-    has = F.max((F.col("status") == "inactive").cast("int")).over(Window.partitionBy("source_id")) == 1
-    return v.withColumn("t", target).withColumn("h", has).select("id", F.when(F.col("t"), "active").when(F.col("is_active") & F.col("h"), "inactive").otherwise(F.col("status")).alias("status"))
-
-
 @query("retired_sources", f"SELECT slug, epoch_us(coalesce(retired_at, TIMESTAMPTZ '{AS_OF}+00')) AS retired_us FROM corpus_source WHERE kind = 'standalone' UNION ALL SELECT slug, epoch_us(retired_at) FROM corpus_source WHERE kind <> 'standalone'")
 def retired_sources(spark: SparkSession, sf: str) -> DataFrame:
     """All standalone sources retired; a first retirement stays."""
@@ -276,19 +249,6 @@ def upload_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return t.withColumn("decision", ingest.upload_decision(F.col("carried"), F.col("has_chunks"), F.col("prior_match"), F.col("can_carry")))
 
 
-@query("max_fill_groups")
-def max_fill_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups of at most 1,000 tokens, every document's chunks in order, by a fold in the JVM."""
-    g = batching.filled_groups(_c(spark, sf).chunks, 1000)
-    return g.groupBy("document_id").agg((F.max("group_no") + 1).alias("n_groups"), F.count("*").alias("n_chunks"))
-
-
-@query("context_groups")
-def context_groups(spark: SparkSession, sf: str) -> DataFrame:
-    g = batching.context_groups(_c(spark, sf).chunks, 2048)
-    return g.groupBy("document_id").agg((F.max("group_no") + 1).alias("n_groups"))
-
-
 @query("chunk_files")
 def chunk_files(spark: SparkSession, sf: str) -> DataFrame:
     """All files scanned, cleaned and cut."""
@@ -445,12 +405,6 @@ def package_manifests(spark: SparkSession, sf: str) -> DataFrame:
     return packages.manifests(f).select("scope", "path", "kind", "name", "version", F.array_join("licenses", " OR ").alias("licenses"))
 
 
-@query("license_titles")
-def license_titles(spark: SparkSession, sf: str) -> DataFrame:
-    f = _c(spark, sf).raw("source_file").withColumnRenamed("source_version_id", "scope")
-    return packages.license_titles(f).select("scope", "dir", F.array_join("titles", " | ").alias("titles"))
-
-
 @query(
     "url_match",
     f"""WITH f AS (SELECT DISTINCT {PATH.format('source_path')} AS path FROM new_document), u AS (SELECT DISTINCT published_url AS url FROM new_document WHERE published_url IS NOT NULL)

@@ -52,6 +52,26 @@ def token_buckets(events: DataFrame, rate: float) -> DataFrame:
     return events.groupBy("subject").applyInPandasWithState(run, BUCKET_OUT, "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def replayed_buckets(events: DataFrame, rate: float) -> DataFrame:
+    """The same decisions for a table of (subject, event_id, ts, cost), subjects sorted apart."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        subject, tokens, last = None, rate, 0.0
+        for pdf in batches:
+            out = []
+            for e in pdf.itertuples():
+                now = e.ts.timestamp()
+                if e.subject != subject:
+                    subject, tokens, last = e.subject, rate, now
+                tokens, ok, wait = charge(tokens, last, now, rate, e.cost)
+                last = max(last, now)
+                out.append((e.subject, e.event_id, e.ts, ok, int(tokens), wait))
+            yield pd.DataFrame(out, columns=["subject", "event_id", "ts", "allowed", "remaining", "retry_after"])
+
+    order = events.select("subject", "event_id", "ts", "cost").where("subject IS NOT NULL AND ts IS NOT NULL")
+    return order.repartition("subject").sortWithinPartitions("subject", "ts", "event_id").mapInPandas(run, BUCKET_OUT)
+
+
 def hourly_usage(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Tokens by subject and hour of a stream, late rows up to the watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "subject").agg(F.sum("tokens").alias("tokens")).select(F.col("window.start").alias("hour"), "subject", "tokens")

@@ -93,6 +93,26 @@ def apply(usage: Usage, op: str, number: int, tokens: int, now: int, hourly: int
     return None
 
 
+def replayed(events: DataFrame, hourly: int, daily: int) -> DataFrame:
+    """The same decisions for a table of events. Subjects are sorted apart and read as they come, one
+    event at a time, so nothing of a subject but its state is held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        subject, usage = None, Usage()
+        for pdf in batches:
+            out = []
+            for e in pdf.itertuples():
+                if e.subject != subject:
+                    subject, usage = e.subject, Usage()
+                now = int(e.ts.timestamp())
+                why = apply(usage, e.op, int(e.number), int(e.tokens), now, hourly, daily)
+                out.append((e.subject, e.event_id, e.op, why, *usage.left(now, hourly, daily)))
+            yield pd.DataFrame(out, columns=["subject", "event_id", "op", "rejected_by", "hour_left", "day_left"])
+
+    order = events.select("subject", "event_id", "ts", "op", "number", "tokens").where("subject IS NOT NULL AND ts IS NOT NULL")
+    return order.repartition("subject").sortWithinPartitions("subject", "ts", "event_id").mapInPandas(run, OUT)
+
+
 def limited(events: DataFrame, hourly: int, daily: int) -> DataFrame:
     """Decisions on a stream of (subject, event_id, ts, op, number, tokens), in time order per
     subject and batch. State is bounded: 60 minutes, 24 hours, holds of a minute."""
