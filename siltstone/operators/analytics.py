@@ -189,6 +189,19 @@ def daily_events(events: DataFrame) -> DataFrame:
     return events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
 
 
+def search_rollup(queries: DataFrame) -> DataFrame:
+    """(day, mode, code_mode, client, n, with_vector): what was asked a day."""
+    return queries.groupBy(F.to_date("asked_at").alias("day"), "mode", "code_mode", "client").agg(F.count("*").alias("n"), F.count("vector").alias("with_vector"))
+
+
+def sources_off_model(corpus: Corpus, model_id: Column) -> DataFrame:
+    """(slug, best_rank): sources whose active version isn't on a model, with the best attribution of
+    their documents (0 is the best), those first."""
+    a = corpus.documents.groupBy("source_version_id").agg(F.min(attribution_rank(F.coalesce(F.col("provenance.attribution"), F.lit("unknown")))).alias("best_rank"))
+    v = corpus.active_versions.where(F.col("embedding_model_id") != model_id).select(F.col("id").alias("source_version_id"), "source_id")
+    return v.join(corpus.sources.select(F.col("id").alias("source_id"), "slug"), "source_id").join(a, "source_version_id", "left").select("slug", "best_rank").orderBy(F.asc_nulls_last("best_rank"), "slug")
+
+
 def overview_block(parts: dict[str, DataFrame]) -> DataFrame:
     """(section, payload): each part as one JSON array in a fixed order; parts are capped lists."""
     out = None

@@ -123,6 +123,11 @@ def attached(chunks: DataFrame, vectors: DataFrame, column: str = "embedding", o
     return out.withColumn(column, value).drop("_v")
 
 
+def embed_failed(chunks: DataFrame) -> DataFrame:
+    """Chunks that wait for another embedding run."""
+    return chunks.where("status = 'embed_failed'")
+
+
 def vector_mismatches(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """Documents whose number of vectors isn't that of their chunks."""
     a = chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"))

@@ -144,6 +144,12 @@ def version_at(versions: DataFrame, source_id: str, revision: int) -> DataFrame:
     return versions.where((F.col("source_id") == source_id) & (F.col("revision") == revision))
 
 
+def newest_first(versions: DataFrame) -> DataFrame:
+    """(source_id, id, revision, place): the versions of each source, newest revision first."""
+    w = Window.partitionBy("source_id").orderBy(F.desc("revision"), "id")
+    return versions.select("source_id", "id", "revision", F.row_number().over(w).alias("place"))
+
+
 def documents_by_hash(documents: DataFrame, version_id: str, content_hash: str) -> DataFrame:
     return documents.where((F.col("source_version_id") == version_id) & (F.lower("content_hash") == content_hash.lower()))
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import injection, text
 from siltstone.model import Corpus
-from siltstone.operators import analytics, batching, ingest, lifecycle
+from siltstone.operators import analytics, ingest, lifecycle, navigate, search
 from siltstone.plans.retrieval import AS_OF, CHUNK, DOC
 from siltstone.queries import query
 from siltstone.sources import files, manifest, packages
@@ -110,12 +110,6 @@ def inventory_complete(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.inventory(_c(spark, sf))
 
 
-@query("overview_block")
-def overview_block(spark: SparkSession, sf: str) -> DataFrame:
-    c = _c(spark, sf)
-    return analytics.overview_block({"by_kind": analytics.sources_by_kind(c), "by_attribution": analytics.sources_by_attribution(c), "coverage": analytics.version_coverage(c)})
-
-
 @query("document_tokens_by_kind", f"SELECT lower(kind) AS kind, count(*) AS n, CAST(sum(coalesce(token_count, 0)) AS BIGINT) AS tokens, max(char_count) AS longest FROM {DOC} GROUP BY 1")
 def document_tokens_by_kind(spark: SparkSession, sf: str) -> DataFrame:
     return _c(spark, sf).documents.groupBy(F.lower("kind").alias("kind")).agg(F.count("*").alias("n"), F.sum(F.coalesce("token_count", F.lit(0))).alias("tokens"), F.max("char_count").alias("longest"))
@@ -165,15 +159,16 @@ def may_start(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("versions_newest_first", "SELECT source_id, id, revision, CAST(row_number() OVER (PARTITION BY source_id ORDER BY revision DESC, id) AS INT) AS place FROM source_version")
 def versions_newest_first(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("source_id").orderBy(F.desc("revision"), "id")
-    return _c(spark, sf).versions.select("source_id", "id", "revision", F.row_number().over(w).alias("place"))
+    return navigate.newest_first(_c(spark, sf).versions)
 
 
-@query("retired_sources", f"SELECT slug, epoch_us(coalesce(retired_at, TIMESTAMPTZ '{AS_OF}+00')) AS retired_us FROM corpus_source WHERE kind = 'standalone' UNION ALL SELECT slug, epoch_us(retired_at) FROM corpus_source WHERE kind <> 'standalone'")
+@query("retired_sources", f"SELECT slug, epoch_us(CASE WHEN slug = (SELECT min(slug) FROM corpus_source WHERE retired_at IS NULL) OR slug = (SELECT min(slug) FROM corpus_source WHERE retired_at IS NOT NULL) THEN coalesce(retired_at, TIMESTAMPTZ '{AS_OF}+00') ELSE retired_at END) AS retired_us FROM corpus_source")
 def retired_sources(spark: SparkSession, sf: str) -> DataFrame:
-    """All standalone sources retired; a first retirement stays."""
+    """A source retired, and one retired again: the first time stays."""
     s = _c(spark, sf).sources
-    return s.select("slug", F.unix_micros(F.when(F.col("kind") == "standalone", F.coalesce("retired_at", F.to_timestamp(F.lit(AS_OF)))).otherwise(F.col("retired_at"))).alias("retired_us"))
+    for r in s.groupBy(F.col("retired_at").isNull()).agg(F.min("slug").alias("slug")).collect():  # two rows at most
+        s = lifecycle.source_retired(s, r.slug, AS_OF)
+    return s.select("slug", F.unix_micros("retired_at").alias("retired_us"))
 
 
 @query("package_upsert", "WITH n AS (SELECT source_version_id, kind, name, 'x' || coalesce(version, '0') AS version FROM source_package WHERE kind = 'npm') SELECT source_version_id, kind, name, version FROM n UNION ALL SELECT source_version_id, kind, name, version FROM source_package WHERE kind <> 'npm'")
@@ -185,21 +180,20 @@ def package_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("embed_failed_work", f"SELECT id, epoch_us(created_at) AS created_us FROM {CHUNK} WHERE status = 'embed_failed'")
 def embed_failed_work(spark: SparkSession, sf: str) -> DataFrame:
-    return _c(spark, sf).chunks.where("status = 'embed_failed'").select("id", F.unix_micros("created_at").alias("created_us"))
+    return ingest.embed_failed(_c(spark, sf).chunks).select("id", F.unix_micros("created_at").alias("created_us"))
 
 
 @query("active_sources", "SELECT id, slug FROM corpus_source WHERE retired_at IS NULL")
 def active_sources(spark: SparkSession, sf: str) -> DataFrame:
-    return _c(spark, sf).sources.where("retired_at IS NULL").select("id", "slug").orderBy("slug")
+    return navigate.list_sources(_c(spark, sf).sources, retired=False).select("id", "slug")
 
 
-@query("sources_not_on_model", f"""WITH m AS (SELECT embedding_model_id AS m FROM source_version WHERE is_active ORDER BY ingested_at DESC, id DESC LIMIT 1), a AS (SELECT n.source_version_id, min({_RANK}) AS r FROM {DOC} n GROUP BY 1)
+@query("sources_not_on_model", f"""WITH m AS (SELECT max(id) AS m FROM embedding_model), a AS (SELECT n.source_version_id, min({_RANK}) AS r FROM {DOC} n GROUP BY 1)
     SELECT s.slug, CAST(a.r AS INT) AS best_rank FROM corpus_source s JOIN source_version v ON v.source_id = s.id AND v.is_active LEFT JOIN a ON a.source_version_id = v.id WHERE v.embedding_model_id <> (SELECT m FROM m)""")
 def sources_not_on_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Against another model than the corpus uses, so that there are some."""
     c = _c(spark, sf)
-    a = c.documents.groupBy("source_version_id").agg(F.min(analytics.attribution_rank(F.coalesce(F.col("provenance.attribution"), F.lit("unknown")))).alias("best_rank"))
-    v = c.active_versions.join(c.corpus_model, F.col("embedding_model_id") != F.col("model_id")).select(F.col("id").alias("source_version_id"), "source_id")
-    return v.join(c.sources.select(F.col("id").alias("source_id"), "slug"), "source_id").join(a, "source_version_id", "left").select("slug", "best_rank").orderBy(F.asc_nulls_last("best_rank"), "slug")
+    return analytics.sources_off_model(c, F.lit(c.models.agg(F.max("id").alias("m")).first().m))
 
 
 # --- ingest plans ----------------------------------------------------------------------------------
@@ -226,18 +220,18 @@ def ingest_plan(spark: SparkSession, sf: str) -> DataFrame:
     return planned.unionByName(gone).groupBy("decision").agg(F.count("*").alias("n"))
 
 
-@query("duplicate_paths", f"SELECT source_version_id, path, id FROM (SELECT source_version_id, id, {PATH.format('source_path')} AS path, row_number() OVER (PARTITION BY source_version_id, {PATH.format('source_path')} ORDER BY created_at, id) AS nth FROM {DOC}) WHERE nth > 1")
+@query("duplicate_paths", f"SELECT path, id FROM (SELECT id, {PATH.format('source_path')} AS path, row_number() OVER (PARTITION BY {PATH.format('source_path')} ORDER BY id) AS nth FROM (SELECT * FROM {DOC} UNION ALL SELECT * REPLACE ('z' || id AS id) FROM {DOC} WHERE kind = 'code')) WHERE nth > 1")
 def duplicate_paths(spark: SparkSession, sf: str) -> DataFrame:
-    d = _c(spark, sf).documents.withColumn("path", text.clean_path(F.col("source_path")))
-    w = Window.partitionBy("source_version_id", "path").orderBy("created_at", "id")
-    return d.withColumn("nth", F.row_number().over(w)).where("nth > 1").select("source_version_id", "path", "id")
+    """A batch that holds all documents, and those of code once more."""
+    d = _c(spark, sf).documents.select("id", "kind", text.clean_path(F.col("source_path")).alias("path"))
+    twice = d.unionByName(d.where("kind = 'code'").withColumn("id", F.concat(F.lit("z"), "id")))
+    return ingest.duplicate_paths(twice, "id").select("path", "id")
 
 
-@query("duplicate_queries", "SELECT pair_id FROM (SELECT pair_id, row_number() OVER (PARTITION BY request_id, text, CAST(vector AS VARCHAR) ORDER BY query_index, pair_id) AS nth FROM (SELECT DISTINCT ON (pair_id) * FROM query_pair)) WHERE nth > 1")
+@query("duplicate_queries", "SELECT pair_id FROM (SELECT pair_id, row_number() OVER (PARTITION BY request_id, coalesce(text, ''), CAST(coalesce(vector, []) AS VARCHAR), CAST(coalesce(code_vector, []) AS VARCHAR) ORDER BY query_index, pair_id) AS nth FROM query_pair) WHERE nth > 1")
 def duplicate_queries(spark: SparkSession, sf: str) -> DataFrame:
-    q = _c(spark, sf).raw("query_pair").dropDuplicates(["pair_id"])
-    w = Window.partitionBy("request_id", "text", "vector").orderBy("query_index", "pair_id")
-    return q.withColumn("nth", F.row_number().over(w)).where("nth > 1").select("pair_id")
+    """Queries of a request asked again, repeated rows of the log among them."""
+    return search.repeated_queries(_c(spark, sf).raw("query_pair")).select("pair_id")
 
 
 @query("upload_decisions", """SELECT *, CASE WHEN carried AND prior_match AND can_carry THEN 'carry' WHEN carried AND NOT prior_match THEN 'carry requested but no matching prior document; re-embed required' WHEN carried THEN 'carry requested but embedding model changed; re-embed required' WHEN has_chunks THEN 'insert' ELSE 'document has no chunks; refusing to insert an unsearchable document' END AS decision
@@ -262,11 +256,6 @@ def stripped_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.stripped_bytes(ingest.cleaned(files.bodies(files.scan(_c(spark, sf).raw("source_file")))))
 
 
-@query("scan_skips")
-def scan_skips(spark: SparkSession, sf: str) -> DataFrame:
-    return files.skipped(files.scan(_c(spark, sf).raw("source_file"), max_line_bytes=2000))
-
-
 # --- text functions --------------------------------------------------------------------------------
 
 
@@ -309,11 +298,6 @@ def license_files(spark: SparkSession, sf: str) -> DataFrame:
     return f.where(text.is_license_file(F.col("path"))).groupBy("path").agg(F.count("*").alias("n"))
 
 
-@query("generated_banner", r"SELECT doc_id FROM documents WHERE text IS NOT NULL AND regexp_matches(array_to_string(string_split(text, chr(10))[1:10], chr(10)), '(?i)(@generated|DO NOT EDIT|Code generated by|Auto-?generated( by)?)')")
-def generated_banner(spark: SparkSession, sf: str) -> DataFrame:
-    return _c(spark, sf).raw("documents").where(text.looks_generated(F.col("text"))).select("doc_id")
-
-
 @query("terms", r"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '' AND w NOT IN (" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "))) AS term FROM documents WHERE text IS NOT NULL) GROUP BY 1")
 def terms(spark: SparkSession, sf: str) -> DataFrame:
     d = _c(spark, sf).raw("documents").select("doc_id", F.explode(text.terms(F.col("text"))).alias("term"))
@@ -370,18 +354,6 @@ def char_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return _c(spark, sf).raw("documents").select("doc_id", estimate(F.col("text")).cast("bigint").alias("n"))
 
 
-@query("spdx_tags")
-def spdx_tags(spark: SparkSession, sf: str) -> DataFrame:
-    f = _c(spark, sf).raw("source_file").select("path", F.explode(text.spdx_tags(F.col("content").cast("string"))).alias("tag"))
-    return f.groupBy("tag").agg(F.count("*").alias("n"))
-
-
-@query("front_matter_files")
-def front_matter_files(spark: SparkSession, sf: str) -> DataFrame:
-    f = _c(spark, sf).raw("source_file").where(F.col("path").rlike(r"\.mdx?$")).select("path", text.front_matter(F.col("content").cast("string")).alias("fm"))
-    return f.where("fm IS NOT NULL").groupBy(F.size(F.split("fm", "\n")).alias("n_lines")).agg(F.count("*").alias("n"))
-
-
 # --- packages and manifests ------------------------------------------------------------------------
 
 

@@ -235,22 +235,6 @@ def parse_version(spark: SparkSession, sf: str) -> DataFrame:
     return v.where("p IS NOT NULL").select("version", "p.major", "p.minor", "p.patch")
 
 
-@query("semver_class")
-def semver_class(spark: SparkSession, sf: str) -> DataFrame:
-    """How each declared constraint of the corpus fits version 1.2.0 (interval algebra, no SQL)."""
-    t = _corpus(spark, sf).documents.select(F.explode("provenance.language_targets").alias("t")).select(F.col("t.version_constraint").alias("declared"))
-    n = t.groupBy("declared").agg(F.count("*").alias("n"))
-    return n.withColumn("c", classify_udf("1.2.0")("declared")).select("declared", "n", "c.match", "c.distance")
-
-
-@query("version_outcomes")
-def version_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents by their best fit for a requested language version."""
-    d = _corpus(spark, sf).documents.select("id", "provenance")
-    got = best_outcomes(d, F.col("provenance.language_targets"), [{"name": "compact", "version_satisfies": ">=0.20"}])
-    return got.groupBy("match").agg(F.count("*").alias("n"), F.count_if(keeps(F.col("match"), "permissive")).alias("n_kept"))
-
-
 # --- navigation: every chunk is an anchor ----------------------------------------------------------
 
 VIS = f"vis AS (SELECT * FROM {CHUNK} WHERE status <> 'embed_failed'), allc AS (SELECT * FROM {CHUNK})"
@@ -333,22 +317,6 @@ def covered_spans(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.covered_spans(_corpus(spark, sf).chunks)
 
 
-@query("trim_overlaps")
-def trim_overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document's chunks in index order as one result list, trimmed."""
-    rows = _corpus(spark, sf).wide_chunks.select(F.lit(0).alias("list"), "document_id", "id", "start_byte", "end_byte", "content", F.col("chunk_index").alias("rank"))
-    return overlap.trim_overlaps(rows, ["list"]).select("document_id", "id", "content", "trimmed")
-
-
-@query("search_request")
-def search_request(spark: SparkSession, sf: str) -> DataFrame:
-    """One whole request: filter, three lists, fusion, trust, confidence, trim, page."""
-    c = _corpus(spark, sf)
-    first = _queries(c).where(search.usable(F.col("vector"), DIM)).orderBy("query_id").limit(1).first()
-    q = search.Query((first.text or "registry batch").strip().lower(), list(first.vector), None)
-    return search.search(c, search.Request([q], {"deprecated": False}, as_of=AS_OF)).drop("matched", "content")
-
-
 @query("facet_registry", "SELECT * FROM (VALUES " + ", ".join(f"('{f.key}', '{f.shape}', {str(f.negatable).lower()})" for f in facets.REGISTRY.values()) + ") t(key, shape, negatable)")
 def facet_registry(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(f.key, f.shape, f.negatable) for f in facets.REGISTRY.values()], "key string, shape string, negatable boolean")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.operators import analytics, batching, navigate, quota
+from siltstone.operators import analytics, batching, lifecycle, navigate, quota
 from siltstone.queries import query
 from siltstone.session import table
 
@@ -54,8 +54,7 @@ def daily_event_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("search_daily_rollup", "SELECT CAST(CAST(asked_at AS TIMESTAMP) AS DATE) AS day, mode, code_mode, client, count(*) AS n, count(*) FILTER (vector IS NOT NULL) AS with_vector FROM (SELECT DISTINCT ON (pair_id) * FROM query_pair) GROUP BY 1, 2, 3, 4")
 def search_daily_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    q = table(spark, sf, "query_pair").dropDuplicates(["pair_id"])
-    return q.groupBy(F.to_date("asked_at").alias("day"), "mode", "code_mode", "client").agg(F.count("*").alias("n"), F.count("vector").alias("with_vector"))
+    return analytics.search_rollup(table(spark, sf, "query_pair").dropDuplicates(["pair_id"]))
 
 
 @query("search_cube", "SELECT mode, client, count(*) AS n FROM (SELECT DISTINCT ON (pair_id) * FROM query_pair) GROUP BY CUBE (mode, client)")
@@ -105,11 +104,12 @@ def budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return batching.budget_prefix(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "cost", 500_000).select("o_orderkey", "o_custkey")
 
 
-@query("retention_orders", "SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) > 5")
+@query("retention_orders", "SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) > 5")
 def retention_orders(spark: SparkSession, sf: str) -> DataFrame:
-    """What a retention of five newest versions a key would delete."""
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    return table(spark, sf, "orders").withColumn("place", F.row_number().over(w)).where("place > 5").select("o_orderkey", "o_custkey")
+    """What a retention of five newest versions a key would delete, with orders as versions."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("revision"), F.lit("inactive").alias("status"), F.col("o_orderdate").cast("timestamp").alias("ingested_at"))
+    s = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit(None).cast("int").alias("retention_count"))
+    return lifecycle.swept_versions(o, s, "2030-01-01 00:00:00", 30).select(F.col("id").alias("o_orderkey"), F.col("source_id").alias("o_custkey"))
 
 
 @query(
