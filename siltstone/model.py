@@ -49,14 +49,15 @@ def first_of_each_id(raw: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> Data
     places are broadcast and the scan filters them; more go through a filter by id first, so that only
     rows of repeated ids move. The rows kept are the same at every size. `raw` is a Parquet table."""
     place = F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
-    again = staged(raw.select("id", place.alias("p")).groupBy("id").agg(F.min("p").alias("keep"), F.count("*").alias("n")).where("n > 1").select("id", "keep"), "repeated")
-    n = again.count()
-    if n == 0:
+    again = raw.select("id", place.alias("p")).groupBy("id").agg(F.min("p").alias("keep"), F.count("*").alias("n")).where("n > 1").select("id", "keep")
+    found = again.limit(broadcast_ids + 1).collect()
+    if not found:
         return raw
     rows = raw.select("*", place.alias("_p"))
-    if n <= broadcast_ids:
-        rows = rows.join(F.broadcast(again), "id", "left")
+    if len(found) <= broadcast_ids:
+        rows = rows.join(F.broadcast(raw.sparkSession.createDataFrame(found, again.schema)), "id", "left")
         return rows.where(F.col("keep").isNull() | (F.col("keep") == F.col("_p"))).select(raw.columns)
+    again = staged(again, "repeated")
     told = marked(rows, F.col("id"), again.select("id"))
     few = told.where("_maybe").join(again, "id", "left").where(F.col("keep").isNull() | (F.col("keep") == F.col("_p")))
     return told.where("NOT _maybe").select(raw.columns).unionByName(few.select(raw.columns))

@@ -318,6 +318,17 @@ def trim_overlaps(spark: SparkSession, sf: str) -> DataFrame:
 _FIRST = f"SELECT * FROM (SELECT DISTINCT ON (pair_id) * FROM query_pair WHERE pair_id % 20 = 0) WHERE len(vector) = {DIM} AND NOT list_bool_or(list_transform(vector, lambda x: isnan(x))) AND list_bool_or(list_transform(vector, lambda x: x <> 0)) AND len({_terms_sql('text')}) > 0 ORDER BY pair_id LIMIT 1"
 
 
+_INDEXES: dict[tuple[str, str], search.IndexedCorpus] = {}
+
+
+def _indexed(spark: SparkSession, sf: str) -> search.IndexedCorpus:
+    """The index of a data directory, built once in an application, as a service would after an ingest."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = search.build_index(_c(spark, sf))
+    return _INDEXES[key]
+
+
 def _request(c: Corpus) -> search.Request:
     """The request of the first usable query: any of its words, and its vector."""
     q = c.raw("query_pair").where("pair_id % 20 = 0").where(search.usable(F.col("vector"), DIM)).withColumn("q", _any_word(F.col("text"))).where("q <> ''")
@@ -343,7 +354,7 @@ _POOL = f"""WITH {JOINED}, q AS ({_FIRST}), f AS (SELECT * FROM j WHERE NOT coal
 )
 def search_request(spark: SparkSession, sf: str) -> DataFrame:
     """One whole request: filter, lists by vector and words, fusion, trust, confidence, trim, page."""
-    c = _c(spark, sf)
+    c = _indexed(spark, sf)
     return search.search(c, _request(c)).select("rank", "id", "document_id", "chunk_index", "best_similarity", "score", "relevance", "trust", "confidence")
 
 

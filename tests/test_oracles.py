@@ -16,15 +16,20 @@ def con():
     return connection(SF)
 
 
+#: Exact quantities that the smallest tables may lack.
+MAY_BE_EMPTY = {"facet_package_none_of", "facet_deprecated", "limit_exceeded", "facet_tags_none_of"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, con, name):
     assert difference(QUERIES[name](spark, SF), con, ORACLES[name]) is None
+    assert name in MAY_BE_EMPTY or con.execute(ORACLES[name]).fetchone() is not None
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_gives_rows(spark, name):
     df = QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+    assert df.columns and not df.isEmpty()
 
 
 def test_entry(spark):
