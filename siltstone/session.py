@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_STAGED: dict[str, set[str]] = {}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -52,7 +53,28 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    _STAGED.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a written stage that nothing reads any more."""
+    if path := getattr(df, "_staged_at", None):
+        _STAGED.get(df.sparkSession.sparkContext.applicationId, set()).discard(path)
+        _delete(df.sparkSession, path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all stages of this application: for the end of a query, after its result is written."""
+    for path in _STAGED.pop(spark.sparkContext.applicationId, set()):
+        _delete(spark, path)
 
 
 def drop_own_dir(spark: SparkSession) -> None:

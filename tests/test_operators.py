@@ -138,6 +138,18 @@ def test_rows_of_repeated_ids_are_the_same_at_every_size(spark, tmp_path):
     assert "wide" not in next(x for x in many._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")[1:2])[:200]
 
 
+def test_stages_can_be_dropped(spark):
+    import os
+
+    from siltstone.session import staged, unstage
+
+    a, b = staged(spark.range(3).toDF("x"), "a"), staged(spark.range(2).toDF("x"), "b")
+    unstage(a)
+    assert not os.path.exists(a._staged_at) and b.count() == 2
+    unstage(b)
+    assert not os.path.exists(b._staged_at)
+
+
 # --- batching ---
 
 
