@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.model import marked
-from siltstone.session import ship, staged, table
+from siltstone.session import ship, staged, table, unstage
 
 WORD = re.compile(r"[^\W_]+")
 BLOCK = 1 << 18
@@ -345,7 +345,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         last, cur = cur, staged(small, "cc")
         # both hold distinct edges: as many of them, and none that the other lacks
-        if last.count() == cur.count() and last.join(cur, ["u", "v"], "left_anti").isEmpty():
+        settled = last.count() == cur.count() and last.join(cur, ["u", "v"], "left_anti").isEmpty()
+        unstage(last)
+        if settled:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
