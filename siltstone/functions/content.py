@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from siltstone.functions.syntax import MOST_ERRORS, Nesting, nesting, split_ranges
+
 # --- comment syntax --------------------------------------------------------------------------------
 
 _C = (("//",), (("/*", "*/"),))
@@ -413,8 +415,9 @@ _SYMBOL_RE = {k: [(kind, re.compile(p)) for kind, p in v] for k, v in SYMBOLS.it
 _MARK = {"python": "#", "bash": "#", "toml": "#", "yaml": "#", "ruby": "#", "haskell": "--", "scheme": ";"}
 
 
-def symbols_of(lines: list[str], language: str) -> list[tuple[int, int, dict]]:
-    """(line, depth of indentation, symbol with the path of those around it) of each declaration."""
+def symbols_of(lines: list[str], language: str, depths: list[int] | None = None) -> list[tuple[int, int, dict]]:
+    """(line, depth, symbol with the path of those around it) of each declaration. Depth is that of the
+    nesting, or of indentation without it."""
     found: list[tuple[int, int, dict]] = []
     stack: list[tuple[int, str]] = []
     for k, line in enumerate(lines):
@@ -422,35 +425,44 @@ def symbols_of(lines: list[str], language: str) -> list[tuple[int, int, dict]]:
             continue
         for kind, p in _SYMBOL_RE.get(language, []):
             if m := p.match(line):
-                indent = len(line) - len(line.lstrip())
-                while stack and stack[-1][0] >= indent:
+                depth = len(line) - len(line.lstrip()) if depths is None else depths[k]
+                while stack and stack[-1][0] >= depth:
                     stack.pop()
-                stack.append((indent, m[1]))
-                found.append((k, indent, {"kind": kind, "name": m[1], "path": [n for _, n in stack]}))
+                stack.append((depth, m[1]))
+                found.append((k, depth, {"kind": kind, "name": m[1], "path": [n for _, n in stack]}))
                 break
     return found
 
 
+def symbol_path_at(found: list[tuple[int, int, dict]], depths: list[int], line: int) -> list[str]:
+    """Names of the declarations that enclose a line, outermost first."""
+    deepest = depths[line]
+    out: list[str] = []
+    for k, depth, s in reversed(found):
+        if k < line and depth < deepest:
+            out.insert(0, s["name"])
+            deepest = depth
+    return out
+
+
 def code_chunks(text: str, language: str, name: str = "", max_tokens: int = MAX_TOKENS) -> list[Chunk]:
-    """Pieces that begin at declarations, small neighbours joined, each with its symbols; a piece
-    inside a symbol gets a comment line that names where it stands."""
-    if not _SYMBOL_RE.get(language):
+    """Pieces cut where the text is nested least, small neighbours joined, each with its symbols; a piece
+    inside a symbol gets a comment line that names where it stands. A text whose brackets, comments and
+    strings mostly don't fit together falls back to line windows."""
+    if language not in _SYMBOL_RE:
         return line_windows(text, max_tokens)
     lines = re.findall(r"[^\n]*\n|[^\n]+", text)
-    found = symbols_of([x.rstrip("\n") for x in lines], language)
-    if not found:
+    plain = [x.rstrip("\n") for x in lines]
+    nest = nesting("\n".join(plain), language, *SYNTAX[language]) if language in SYNTAX else Nesting([len(x) - len(x.lstrip()) for x in plain])
+    if nest.error_share > MOST_ERRORS:
         return line_windows(text, max_tokens)
-    tops = sorted({0, *(k for k, indent, _ in found)})
+    depths = nest.depths
+    found = symbols_of(plain, language, depths)
+    totals = [0]
+    for x in lines:
+        totals.append(totals[-1] + count_tokens(x) - 2)
     target = fill_target(max_tokens)
-    sizes = [count_tokens("".join(lines[a:b])) - 2 for a, b in zip(tops, [*tops[1:], len(lines)], strict=True)]
-    groups: list[tuple[int, int]] = []
-    total = 0
-    for a, b, n in zip(tops, [*tops[1:], len(lines)], sizes, strict=True):
-        if groups and total + n + 2 <= target:
-            groups[-1], total = (groups[-1][0], b), total + n
-        else:
-            groups.append((a, b))
-            total = n
+    groups = split_ranges(depths, [bool(x.strip()) for x in plain], lambda a, b: totals[b] - totals[a] + 2, target)
     offsets = [0]
     for x in lines:
         offsets.append(offsets[-1] + _size(x))
@@ -459,15 +471,15 @@ def code_chunks(text: str, language: str, name: str = "", max_tokens: int = MAX_
         piece = "".join(lines[a:b])
         if not piece.strip():
             continue
+        first = next(k for k in range(a, b) if plain[k].strip())
         inner = [s for k, _, s in found if a <= k < b]
-        outer = next(((k, i, s) for k, i, s in reversed(found) if k < a), None)
-        around = [] if outer is None or not lines[a][:1].isspace() else [n for n in outer[2]["path"] if n not in [p for s in inner for p in s["path"][-1:]]]
+        around = symbol_path_at(found, depths, first)
+        outer = next((s for k, _, s in reversed(found) if k < a and s["path"] == around), None)
         parts = [Chunk(piece, offsets[a], offsets[b], count_tokens(piece))] if count_tokens(piece) <= max_tokens else _windows(piece, offsets[a], max_tokens, [], False)
         for c in parts:
-            c.symbols = inner or ([outer[2]] if outer else [])
-            crumb = around or (c.symbols[0]["path"][:-1] if c.symbols else [])
-            if crumb:
-                c.content = f"{_MARK.get(language, '//')} {' > '.join([name, *crumb] if name else crumb)}\n{c.content}"
+            c.symbols = inner or ([outer] if outer else [])
+            if around:
+                c.content = f"{_MARK.get(language, '//')} {' > '.join([name, *around] if name else around)}\n{c.content}"
                 c.tokens = count_tokens(c.content)
             out.append(c)
     return out

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltstone.functions import content, injection, scoring, text, versions
+from siltstone.functions import content, injection, scoring, syntax, text, versions
 
 
 def one(spark, column, **cols):
@@ -194,6 +194,27 @@ def test_heading_paths_and_symbols():
     assert cs[-1].content.startswith("// foo.rs > Foo")
 
 
+def test_nesting():
+    code = "fn a() {\n    let s = \"}\"; // }\n    /* { */ go('{');\n}\nfn b() { c(); }\n"
+    n = syntax.nesting(code, "rust")
+    assert n.depths == [0, 1, 1, 0, 0, 0] and n.errors == 0
+    assert syntax.nesting("def f():\n    if x:\n        y(\n1)\n    z()\ng()", "python", ("#",), ()).depths == [0, 1, 2, 3, 1, 0]
+    assert syntax.nesting("f(}\n)\nok()", "rust").errors == 4
+    assert syntax.nesting("ok()\n/* never\nends", "rust").error_share > 0.6
+
+
+def test_code_is_split_along_its_nesting():
+    body = "".join(f"  if (a{k}) {{\n" + "    step(one, two);\n" * 12 + "  }\n" for k in range(8))
+    code = f"class Big {{\nrun() {{\n{body}}}\n}}\nfunction small() {{\n  go();\n}}\n"
+    cs = content.code_chunks(code, "javascript", "x.js", 160)
+    assert len(cs) > 4 and "".join(code.encode()[c.start : c.end].decode() for c in cs) == code
+    inside = [c for c in cs if "step" in c.content]
+    assert all(c.content.count("{") == c.content.count("}") for c in inside[1:-1])  # whole blocks
+    assert inside[1].content.startswith("// x.js > Big")
+    assert {c.fallback for c in content.code_chunks("} ) ] (\n" * 9, "javascript")} == {True}
+    assert len(content.code_chunks("(define (f x)\n  (g x))\n" * 40, "scheme", "", 64)) > 4
+
+
 def test_license_texts():
     from siltstone.functions.detect import TextDetector
 
