@@ -102,10 +102,12 @@ def batch_get(spark: SparkSession, rows: DataFrame, ids: list[str], key: str = "
 def ancestors(spark: SparkSession, nodes: DataFrame, start: DataFrame, max_depth: int = 1000) -> DataFrame:
     """(id, ancestor_id, depth), nearest first: each start node's chain of parents, whatever its length.
     One recursive plan; the tree is read once a level. A chain longer than `max_depth` (a cycle of
-    parents among them) is an error, it isn't cut."""
+    parents among them) is an error, it isn't cut. The depth bounds the rows; Spark's own limit, a
+    million for all levels together, is off."""
     nodes.select("id", "parent_node_id").distinct().createOrReplaceTempView("siltstone_edges")
     start.select("id").distinct().createOrReplaceTempView("siltstone_start")
     spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max_depth + 2))
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     up = spark.sql(f"""
         WITH RECURSIVE up(id, ancestor_id, depth) AS (
             SELECT s.id, e.parent_node_id, 1 FROM siltstone_start s JOIN siltstone_edges e ON e.id = s.id WHERE e.parent_node_id IS NOT NULL

@@ -129,6 +129,15 @@ def test_ancestors_are_never_cut(spark):
         navigate.ancestors(spark, ring, ring, max_depth=20).collect()
 
 
+def test_ancestors_of_many_nodes_have_no_row_limit(spark):
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "50")  # Spark's own is a million
+    try:
+        tree = spark.createDataFrame([("r", None), ("n", "r")] + [(f"c{i}", "n") for i in range(100)], "id string, parent_node_id string")
+        assert navigate.ancestors(spark, tree, tree).count() == 201
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
 def test_rows_of_repeated_ids_are_the_same_at_every_size(spark, tmp_path):
     spark.range(3000).selectExpr("concat('i', id % 2000) as id", "id as n", "repeat('x', 50) as wide").repartition(3).write.parquet(str(tmp_path / "t"))
     raw = spark.read.parquet(str(tmp_path / "t"))
