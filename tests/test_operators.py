@@ -1,7 +1,10 @@
 """Operators on small hand-made rows."""
 
+import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -109,6 +112,57 @@ def test_uncovered_rows(rows):
     assert overlap.uncovered(rows) == brute
 
 
+def _lexical_by_hand(texts: dict, parsed: list, n: int) -> dict:
+    out = {}
+    for k, (groups, phrases, without) in enumerate(parsed):
+        rows = []
+        for i, ts in texts.items():
+            tf = [sum(t in g for t in ts) for g in groups]
+            if all(tf) and not set(ts) & set(without) and all(f" {p} " in f" {' '.join(ts)} " for p in phrases):
+                rows.append((-round(sum(map(math.log1p, tf)) / math.log1p(len(ts) + 1), 9), i))
+        out.update({(k, i): (r, -s) for r, (s, i) in enumerate(sorted(rows)[:n], 1)})
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_word_lists_equal_brute_force(spark, monkeypatch, small):
+    words = [f"w{k}" for k in range(12)]
+    dice = random.Random(7)
+    texts = {f"i{k % 7}{k}": [dice.choice(words) for _ in range(dice.randint(1, 9))] for k in range(300)}
+    queries = [" or ".join(words), "w1 or w2", "w1 w2", "w1 or w3 w2 -w4", '"w5 w6"', "w7 nothing", "w8 or nothing", "nowhere", "w1 -w1"]
+    queries += [" or ".join(dice.sample(words, 4)) for _ in range(30)]
+    parsed = [search.stemmed_parse(q, False) for q in queries]
+    place = {w: k for k, w in enumerate(sorted({w for gs, _, o in parsed for ws in (*gs, o) for w in ws}))}
+    if small:
+        for name, value in (("TEXTS", 40), ("CELLS", 256), ("WORDS", 8)):
+            monkeypatch.setattr(search, name, value)
+    lists = search.WordLists(sorted(place), [([np.array([place[w] for w in g]) for g in gs], p, np.array([place[w] for w in o], int)) for gs, p, o in parsed], 5)
+    for at in range(0, 300, 90):
+        some = list(texts)[at : at + 90]
+        lists.add(pa.array([*some, "none", "empty"]), pa.array([*(texts[i] for i in some), None, []], pa.list_(pa.string())))
+    lists.merge()
+    want = _lexical_by_hand(texts, parsed, 5)
+    got: dict = {}
+    for q, i, s in lists.kept():
+        for a, b, c in zip(q.tolist(), i.tolist(), s.tolist(), strict=True):
+            got[a, b.decode()] = (1 + sum(x[0] == a for x in got), c)
+    assert got == want
+    if not small:
+        chunks = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id string, content string").repartition(9)
+        table_ = spark.createDataFrame(list(enumerate(queries)), "query_id int, text string")
+        assert {(r.query_id, r.id): (r.rank, r.lexical) for r in search.matching_chunks(chunks, table_, n=5, stemmed=False).collect()} == want
+
+
+def test_common_words_are_not_shuffled(spark):
+    """Rows of a query and a chunk leave a task as the n best of the query only."""
+    chunks = spark.range(4000).selectExpr("concat('i', id) AS id", "concat('common word ', id) AS content")
+    q = spark.range(40).selectExpr("id AS query_id", "'common or word' AS text")
+    found = search.matching_chunks(chunks, q, n=3, stemmed=False)
+    assert found.count() == 120
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
 # --- reading around a chunk ---
 
 
