@@ -163,6 +163,16 @@ def test_common_words_are_not_shuffled(spark):
     assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
 
 
+def test_vector_lists_have_as_many_tasks_as_cores(spark, monkeypatch):
+    """Each task sends n rows a query, so tasks are bounded, not one a file split."""
+    chunks = spark.range(400).selectExpr("concat('i', id) AS id", "array(double(id), 400.0) AS embedding").repartition(40)
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id int, vector array<double>")
+    tasks, nearest = [], search._nearest
+    monkeypatch.setattr(search, "_nearest", lambda c, *x: tasks.append(c.rdd.getNumPartitions()) or nearest(c, *x))
+    assert {(r.query_id, r.rank): r.id for r in search.nearest_chunks(chunks, q, 2, n=2).collect()} == {(1, 1): "i399", (1, 2): "i398", (2, 1): "i0", (2, 2): "i1"}
+    assert tasks == [spark.sparkContext.defaultParallelism]
+
+
 # --- reading around a chunk ---
 
 
