@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -173,6 +174,52 @@ def test_vector_lists_have_as_many_tasks_as_cores(spark, monkeypatch):
     assert tasks == [spark.sparkContext.defaultParallelism]
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_vector_lists_equal_brute_force(spark, monkeypatch, small):
+    """Ties by id, within and across the matrices that vectors and queries meet in."""
+    dice = np.random.default_rng(3)
+    few = dice.normal(size=(40, 6))  # each several times, at ids that are far apart
+    vectors = {f"i{k * 37 % 300}": few[k % 40] * (1 + k % 3) for k in range(300)}
+    queries = np.concatenate([few[:5], dice.normal(size=(20, 6))])
+    unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+    if small:
+        monkeypatch.setattr(search, "VALUES", 240)
+        monkeypatch.setattr(search, "TILE", 16)
+    lists = search.VectorLists(unit, 5)
+    for at in range(0, 300, 90):
+        some = list(vectors)[at : at + 90]
+        lists.add(pa.array(some), pa.array([vectors[i].tolist() for i in some]))
+    lists.add(pa.array(["endless"]), pa.array([[math.inf, *[1.0] * 5]]))
+    lists.merge()
+    want = {}
+    for k, q in enumerate(unit):
+        rows = sorted((-round(float(q @ v / np.linalg.norm(v)), 9), i) for i, v in vectors.items())
+        want.update({(k, i): (r, -s) for r, (s, i) in enumerate(rows[:5], 1)})
+    got: dict = {}
+    for q, i, s in lists.kept():
+        for a, b, c in zip(q.tolist(), i.tolist(), s.tolist(), strict=True):
+            got[a, b.decode()] = (1 + sum(x[0] == a for x in got), c)
+    assert got == want
+    if not small:
+        chunks = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "id string, embedding array<double>").repartition(9)
+        table_ = spark.createDataFrame([(k, q.tolist()) for k, q in enumerate(queries)], "query_id int, vector array<double>")
+        assert {(r.query_id, r.id): (r.rank, r.similarity) for r in search.nearest_chunks(chunks, table_, 6, n=5).collect()} == want
+
+
+def test_vector_lists_hold_little():
+    """All queries times a batch of vectors is never in memory at once."""
+    dice = np.random.default_rng(4)
+    lists = search.VectorLists(dice.normal(size=(4000, 8)), 10)
+    ids, vectors = pa.array([f"i{k}" for k in range(8000)]), pa.array(list(dice.normal(size=(8000, 8))))
+    tracemalloc.start()
+    lists.add(ids, vectors)
+    lists.merge()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4000 * 8000 * 8 / 4
+    assert sum(len(q) for q, _, _ in lists.kept()) == 40_000
+
+
 # --- reading around a chunk ---
 
 
